@@ -1,3 +1,4 @@
 """DuckDB SQL per query."""
 
-ORACLE_SQL = {}
+from deltaloom import queries  # noqa: F401
+from deltaloom.registry import ORACLE_SQL  # noqa: F401

@@ -1,3 +1,4 @@
 """One query per operator."""
 
-QUERIES = {}
+from deltaloom.plans import aggregates, filters, logs, projections, routes, scalars, streams  # noqa: F401
+from deltaloom.registry import QUERIES  # noqa: F401
