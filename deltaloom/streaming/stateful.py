@@ -33,8 +33,9 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_time: str, r
     return a.join(b, F.expr(f"l.{key} = r.{key} and r.{right_time} >= l.{left_time} and r.{right_time} <= l.{left_time} + interval {within}"))
 
 
-def group_transactions(stream: DataFrame, txn: str = "txn_id", timeout_ms: int = 60_000) -> DataFrame:
-    """(txn_id, n_events, complete): a row when a transaction's last event has come, or it has been silent too long.
+def group_transactions(stream: DataFrame, txn: str = "txn_id", timeout_ms: int | None = 60_000) -> DataFrame:
+    """(txn_id, n_events, complete): a row when a transaction's last event has come, or it has been silent too long
+    (timeout_ms None: never).
 
     stream: txn_id, is_last. A count and a flag are all the state that a transaction holds.
     """
@@ -55,9 +56,10 @@ def group_transactions(stream: DataFrame, txn: str = "txn_id", timeout_ms: int =
             yield pd.DataFrame({"txn_id": [key[0]], "n_events": [n], "complete": [True]})
         else:
             state.update((n,))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
 
-    return stream.groupBy(txn).applyInPandasWithState(step, "txn_id string, n_events long, complete boolean", "n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(txn).applyInPandasWithState(step, "txn_id string, n_events long, complete boolean", "n long", "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 class SequenceCheck(StatefulProcessor):

@@ -21,7 +21,7 @@ def run(stream, name, tmp_path, mode="append"):
 
 def test_transactions_stream_equals_batch(spark, tmp_path):
     rows = spark.range(50).select(F.floor(F.col("id") / 5).cast("string").alias("txn_id"), (F.col("id") % 5 == 4).alias("is_last"))
-    got = run(stateful.group_transactions(stream_of(spark, tmp_path, rows, 1)), "txns", tmp_path).collect()
+    got = run(stateful.group_transactions(stream_of(spark, tmp_path, rows, 1), timeout_ms=None), "txns", tmp_path).collect()
     assert sorted((int(r["txn_id"]), r["n_events"], r["complete"]) for r in got) == [(k, 5, True) for k in range(10)]
 
 
