@@ -71,11 +71,20 @@ with parts as (
       when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
       when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
       when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/'
-    end as rule
+    end as rule,
+    case
+      when regexp_matches(host, '(^|[.-])casino([.-]|$)') then 'casino'
+      when regexp_matches(host, '(^|[.-])adult([.-]|$)') then 'adult'
+      when regexp_matches(host, '(^|[.-])pills([.-]|$)') then 'pills'
+      when regexp_matches(host, '(^|[.-])bets([.-]|$)') then 'bets'
+      when regexp_matches(host, '(^|[.-])spam([.-]|$)') then 'spam'
+      when regexp_matches(host, '(^|[.-])ads([.-]|$)') then 'ads'
+    end as word
   from parts
 )
 select page_id, host, path, rule,
-  case when rule in ('example.com/en/', 'net/es/', 'net/fr/') then 'block' else 'allow' end as verdict
+  case when rule in ('example.com/en/', 'net/es/', 'net/fr/') or (rule is null and word is not null) then 'block' else 'allow' end as verdict,
+  case when rule is null then word end as pattern
 from fits
 """,
 }

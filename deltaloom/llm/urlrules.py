@@ -23,6 +23,7 @@ class Rule:
     pattern: str
     literals: tuple[str, ...]
     rank: int
+    listed: bool = True
 
 
 def host_path_rule(name: str, verdict: str) -> Rule:
@@ -44,6 +45,19 @@ RULES = (
 )
 
 
+#: Site kinds that are blocked where no rule decides: a label of the host has the word as a part between dots and hyphens.
+BLOCKED_WORDS = ("ads", "adult", "bets", "casino", "pills", "spam")
+LOWEST = -(1 << 30)
+
+
+def word_pattern(word: str, verdict: str = "block") -> Rule:
+    """A pattern rule on the host alone; it ranks below every host/path rule."""
+    return Rule(word, verdict, rf"(?s)\A(?:[^/]*[.\-])?{re.escape(word)}(?:[.\-][^/]*)?(?:/|\Z)", (word,), LOWEST + len(word), False)
+
+
+PATTERNS = tuple(word_pattern(w) for w in BLOCKED_WORDS)
+
+
 def index_rules(rules) -> dict[str, list[Rule]]:
     """Rules by their literal that fewest rules share (ties: the longer, then the first in order); key '' has those without one."""
     shared: dict[str, int] = {}
@@ -65,20 +79,21 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A.*?://[^/?#]*([^?#]*)", 1)
 
 
-def judge(pages: DataFrame, rules=RULES, otherwise: str = "allow") -> DataFrame:
-    """(page_id, host, path, rule, verdict) for each row of pages.
+def judge(pages: DataFrame, rules=RULES, patterns=PATTERNS, otherwise: str = "allow") -> DataFrame:
+    """(page_id, host, path, rule, verdict, pattern) for each row of pages.
 
     The tokens of host and path fetch candidate rules from the index, and only those run their expressions; the rule of the
-    highest rank that matches decides (ties: the smaller name), and where none does the verdict is `otherwise`. A null
+    highest rank that matches decides (ties: the smaller name). Patterns go through the same index and decide where no rule
+    fits; rule is null then, and pattern names the one that matched. Where neither matches the verdict is `otherwise`. A null
     url or one without `://` has empty host and path, and no rule fits. Null or repeated page_ids are kept. Other columns
     are ignored. Rules beyond RULES_AT_ONCE are applied in passes, each with an index of its own.
     """
     ship(pages.sparkSession)
-    rules = list(rules)
-    out = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(-1).cast("long").alias("rank"))
+    rules = [*rules, *patterns]
+    out = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(2 * LOWEST).cast("long").alias("rank"), F.lit(None).cast("string").alias("pattern"))
     for k in range(0, len(rules), RULES_AT_ONCE):
-        out = out.mapInArrow(_one_pass(rules[k : k + RULES_AT_ONCE]), "page_id long, host string, path string, rule string, verdict string, rank long")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(otherwise)).alias("verdict"))
+        out = out.mapInArrow(_one_pass(rules[k : k + RULES_AT_ONCE]), "page_id long, host string, path string, rule string, verdict string, rank long, pattern string")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(otherwise)).alias("verdict"), "pattern")
 
 
 def _one_pass(rules):
@@ -91,12 +106,13 @@ def _one_pass(rules):
             cols = batch.to_pydict()
             for i, (host, path) in enumerate(zip(cols["host"], cols["path"])):
                 url = host + path
-                best = (-cols["rank"][i], cols["rule"][i] or "")
+                best = (-cols["rank"][i], cols["rule"][i] or cols["pattern"][i] or "")
                 for t in [None, *(known & set(tokens(url)))]:
                     for fits, r in always if t is None else index[t]:
                         if (-r.rank, r.name) < best and fits(url):
                             best = (-r.rank, r.name)
-                            cols["rule"][i], cols["verdict"][i], cols["rank"][i] = r.name, r.verdict, r.rank
+                            cols["rule"][i], cols["pattern"][i] = (r.name, None) if r.listed else (None, r.name)
+                            cols["verdict"][i], cols["rank"][i] = r.verdict, r.rank
             yield pa.RecordBatch.from_pydict(cols, schema=batch.schema)
 
     return run
