@@ -24,8 +24,8 @@ def event_key(mode: str = "safe", columns: list[str] | None = None, pk: str = "i
 def first_within(df: DataFrame, key: Column, seconds: str, order: list[str], ttl_s: int = 3600) -> DataFrame:
     """Events that are not within ttl_s after the last kept event of their key. The time runs from the kept event.
 
-    A key's times are folded in order by aggregate(), over sorted distinct seconds: at most ttl-spaced keepers result.
-    Keys are grouped by key and day first, so that a key's days are folded as few numbers.
+    A key's times are folded in order by aggregate(), over its sorted distinct seconds: one array per key, at most as long as
+    the log lasts in seconds, however many events a second has.
     """
     rows = df.withColumn("_k", key)
     times = rows.groupBy("_k").agg(F.sort_array(F.collect_set(seconds)).alias("_t"))

@@ -45,3 +45,29 @@ def test_sequences_in_batch(spark):
     rows = [(1, 0, 0, 0, 5), (2, 0, 0, 0, 0), (2, 0, 1, 2, 4)]
     df = spark.createDataFrame(rows, "producer_id long, partition int, offset long, epoch int, sequence int")
     assert sorted(r["status"] for r in txn.check_sequences(df).collect()) == ["out_of_order", "out_of_order", "valid"]
+
+
+def test_sequence_check_keeps_its_state():
+    import pandas as pd
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, v):
+            self.held = v
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    p = stateful.SequenceCheck()
+    p.init(Handle())
+    give = lambda *rows: [s for out in p.handleInputRows((1, 0), iter([pd.DataFrame(rows, columns=["offset", "epoch", "sequence"])]), None) for s in out["status"]]
+    assert give((0, 0, 0), (1, 0, 1), (2, 0, 1)) == ["valid", "valid", "duplicate"]
+    assert give((3, 0, 3), (4, 1, 0), (5, 0, 4), (6, 1, 1)) == ["out_of_order", "reset", "fenced", "valid"]
