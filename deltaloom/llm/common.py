@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import atexit
 import io
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch at most: rows here hold whole texts, and a batch is in memory on both sides of the pipe.
+ARROW_ROWS = 1024
+
 _shipped: set[str] = set()
+_holders: dict[str, Callable[[], None]] = {}
 _own_dir: dict[str, str] = {}
 
 
@@ -19,8 +25,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hold(name: str, drop: Callable[[], None] = lambda: None) -> None:
+    """In a worker: what other operators have cached there goes, as workers outlive operators; drop frees what name caches."""
+    for other in [k for k in _holders if k != name]:
+        import pyarrow as pa
+
+        _holders.pop(other)()
+        pa.default_memory_pool().release_unused()
+    _holders[name] = drop
+
+
+def slices(batch, bytes_each: int = 4 << 20):
+    """Slices of an Arrow batch whose column `text` holds about so many bytes each; a longer text stands alone."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+    first, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and held + n > bytes_each:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that workers can import it anywhere."""
+    """Send this package to the executors once per application, so that workers can import it anywhere; keep Arrow batches small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -41,7 +74,9 @@ def scratch_root(spark: SparkSession) -> str:
     if not base:
         app = spark.sparkContext.applicationId
         if app not in _own_dir:
-            _own_dir[app] = f"file://{tempfile.mkdtemp(prefix='deltaloom-')}"
+            own = tempfile.mkdtemp(prefix="deltaloom-")
+            atexit.register(shutil.rmtree, own, True)
+            _own_dir[app] = f"file://{own}"
             spark.sparkContext.setCheckpointDir(_own_dir[app])
         base = _own_dir[app]
     if "://" not in base and not base.startswith("file:"):

@@ -27,7 +27,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
         end, width = np.array([end_id], kind).tobytes(), kind.itemsize
         for batch in batches:
             for piece in pieces.slices(batch):
-                rows = [b"".join(x) + end for x in enc.values(pc.fill_null(piece.column("text"), "").to_pylist())]
+                rows = [x + end for x in enc.values(pc.fill_null(piece.column("text"), "").to_pylist())]
                 n = np.array([len(r) // width for r in rows], np.int64)
                 local = at + np.cumsum(n) - n
                 at += int(n.sum())

@@ -13,12 +13,16 @@ there. What is not cached goes to the library in batches balanced by bytes.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Callable, Iterable
+from itertools import islice
+
+from deltaloom.llm.common import hold, slices  # noqa: F401
 
 BATCH_BYTES = 1 << 20
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 800_000
 
 _TOUCHING = re.compile(r"\s[ \n]|[ \n](?:\s|\Z)").search
 _TOUCHING_SPACE = re.compile(r"\s (?=\s|\Z)").search
@@ -53,15 +57,14 @@ def cut_blank_dropping(text: str) -> list[str]:
 
 
 class Encoder:
-    """Maps texts to lists of what `make` gives for each piece (its length, or its ids as bytes)."""
-
-    def __init__(self, name: str, make: Callable[[list[int]], object], join: Callable[[object, object], object]):
-        self.tokenizer, self.make, self.join = load(name), make, join
-        self.drops_blanks = self.tokenizer.encode(" a b ", add_special_tokens=False).ids == (
-            self.tokenizer.encode("a b", add_special_tokens=False).ids
-        )
-        self.cut = cut_blank_dropping if self.drops_blanks else cut_byte_level
-        self.word_end = _WORD_END if self.drops_blanks else _SPACED_WORD_END
+    """Maps texts to what `fold` makes of their pieces' values; `make` gives a piece's value (its length, or its ids as bytes)."""
+
+    def __init__(self, name: str, make: Callable[[list[int]], object], join: Callable[[object, object], object], fold: Callable[[Iterable], object]):
+        self.tokenizer, self.make, self.join, self.fold = load(name), make, join, fold
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        drops_blanks = ids(" a b ") == ids("a b")
+        self.cut = cut_blank_dropping if drops_blanks else cut_byte_level
+        self.word_end = _WORD_END if drops_blanks else _SPACED_WORD_END
         self.known: dict[str, object] = {}
 
     def _learn(self, new: Iterable[str]) -> None:
@@ -88,23 +91,22 @@ class Encoder:
             for p, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
                 self.known[p] = self.make(e.ids)
 
-    def values(self, texts: list[str]) -> list[list[object]]:
-        """For each text, the values of its pieces in order."""
+    def values(self, texts: list[str]) -> list:
+        """For each text, its pieces' values, folded."""
         if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        out, cut, get, open_ = [], self.cut, self.known.get, []
-        for i, text in enumerate(texts):
-            pieces = cut(text)
-            got = list(map(get, pieces))
-            out.append(got)
-            if None in got:
-                open_.append((i, pieces))
-        if open_:
-            self._learn({p for _, pieces in open_ for p in pieces if p not in self.known})
-            at = self.known.__getitem__
-            for i, pieces in open_:
-                out[i] = list(map(at, pieces))
-        return out
+            # what was learnt first is met most often
+            self.known = dict(islice(self.known.items(), CACHE_ENTRIES * 3 // 4))
+        collects = gc.isenabled()
+        gc.disable()  # millions of strings and no cycles: the collector would only walk them
+        try:
+            cut = list(map(self.cut, texts))
+            if new := set().union(*cut).difference(self.known):
+                self._learn(new)
+            at, fold = self.known.__getitem__, self.fold
+            return [fold(map(at, pieces)) for pieces in cut]
+        finally:
+            if collects:
+                gc.enable()
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -112,18 +114,20 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 
 def counter(name: str) -> Encoder:
     """Gives lengths only; kept for the worker's next tasks."""
+    hold("counts", _encoders.clear)
     if ("n", name) not in _encoders:
-        _encoders["n", name] = Encoder(name, len, int.__add__)
+        _encoders["n", name] = Encoder(name, len, int.__add__, sum)
     return _encoders["n", name]
 
 
 def ids(name: str) -> Encoder:
     """Gives ids as little-endian bytes, 2 bytes each where the vocabulary allows and else 4."""
+    hold(f"ids {name}", _encoders.clear)
     if ("ids", name) not in _encoders:
         import numpy as np
 
         kind = np.dtype(id_kind(name))
-        _encoders["ids", name] = Encoder(name, lambda x: np.array(x, kind).tobytes(), bytes.__add__)
+        _encoders["ids", name] = Encoder(name, lambda x: np.array(x, kind).tobytes(), bytes.__add__, b"".join)
     return _encoders["ids", name]
 
 
@@ -134,18 +138,3 @@ def id_kind(name: str) -> str:
     if name not in _kinds:
         _kinds[name] = "<u2" if load(name).get_vocab_size() <= 1 << 16 else "<u4"
     return _kinds[name]
-
-
-def slices(batch, bytes_each: int = 4 << 20):
-    """Slices of an Arrow batch whose column `text` holds about so many bytes each; a longer text stands alone."""
-    import pyarrow.compute as pc
-
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
-    first, held = 0, 0
-    for i, n in enumerate(sizes):
-        if i > first and held + n > bytes_each:
-            yield batch.slice(first, i - first)
-            first, held = i, 0
-        held += n
-    if first < batch.num_rows:
-        yield batch.slice(first)

@@ -80,7 +80,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.json", e
                 for part in pieces.slices(batch):
                     texts = pc.fill_null(part.column("text"), "").to_pylist()
                     for doc, got in zip(part.column("doc_id").to_pylist(), enc.values(texts)):
-                        data = b"".join(got) + end
+                        data = got + end
                         record = frame(struct.pack("<BBq", doc is not None, width, doc or 0) + data)
                         out.write(record)
                         index.append((at, len(record), len(data) // width))
