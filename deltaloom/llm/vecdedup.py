@@ -18,6 +18,8 @@ CONFIDENCE = 3.0
 #: A bucket with more vectors is compared in blocks of this size, block pair by block pair.
 BLOCK = 4096
 TILE = 512
+#: Buckets of up to so many vectors are estimated many at a time.
+SMALL = 48
 SEED = 20240607
 
 
@@ -46,20 +48,49 @@ def bands_of(signs):
     return (bits.astype(np.int64) << np.arange(BAND_BITS)).sum(2)
 
 
-def linked_pairs(unit, bands, band: int, left, right, threshold: float, turn, code=None):
-    """(i, j) over index arrays left x right (i < j where they are the same) with cosine >= threshold, found first in this band.
+def bounds(factor, size: int):
+    """How far an estimate may lie off: sqrt((1 - f^2) / f^2) * CONFIDENCE / sqrt(bits - 1) for a stored factor f."""
+    import numpy as np
+
+    return np.sqrt(np.maximum(0, 1 - factor**2)) / factor * CONFIDENCE / np.sqrt(size - 1)
+
+
+def exact_links(unit, i, j, threshold: float):
+    """The pairs whose cosine, in double precision, reaches the threshold."""
+    import numpy as np
+
+    keep = [np.einsum("nd,nd->n", unit[i[k : k + (1 << 16)]], unit[j[k : k + (1 << 16)]]) >= threshold for k in range(0, len(i), 1 << 16)]
+    hit = np.concatenate([np.zeros(0, bool), *keep])
+    return i[hit], j[hit]
+
+
+def listed_pairs(unit, code, i, j, threshold: float):
+    """Links among the pairs (i, j): see tiled_pairs."""
+    import numpy as np
 
-    <code_i, turned_j> / factor_i is an unbiased estimate of the inner product; its error is bounded by
-    sqrt((1 - f^2) / f^2) * CONFIDENCE / sqrt(bits - 1). Pairs whose upper bound reaches the threshold are computed exactly
-    in double precision; the others are left out.
+    signs, factor, turned = code
+    size = turned.shape[1]
+    error, maybe = bounds(factor, size), [np.zeros(0, bool)]
+    for k in range(0, len(i), 1 << 13):
+        p, q = i[k : k + (1 << 13)], j[k : k + (1 << 13)]
+        estimate = np.einsum("nd,nd->n", signs[p], turned[q]) / (np.sqrt(size) * factor[p])
+        maybe.append(estimate + error[p] >= threshold)
+    maybe = np.concatenate(maybe)
+    return exact_links(unit, i[maybe], j[maybe], threshold)
+
+
+def tiled_pairs(unit, code, left, right, threshold: float):
+    """Links (i, j) over index arrays left x right, each pair once where they are the same.
+
+    <code_i, turned_j> / factor_i is an unbiased estimate of the inner product. Only pairs whose estimate plus its bound
+    reaches the threshold are computed exactly; the others are left out.
     """
     import numpy as np
 
-    signs, factor, turned = code if code is not None else encode(unit, turn)
+    signs, factor, turned = code
     size = turned.shape[1]
-    error = np.sqrt(np.maximum(0, 1 - factor**2)) / factor * CONFIDENCE / np.sqrt(size - 1)
-    turned = turned.astype(np.float32)
-    same, out_i, out_j = left is right, [], []
+    error = bounds(factor, size)
+    same, found = left is right, [(np.zeros(0, np.int64),) * 2]
     for p in range(0, len(left), TILE):
         a = left[p : p + TILE]
         for q in range(p if same else 0, len(right), TILE):
@@ -69,15 +100,26 @@ def linked_pairs(unit, bands, band: int, left, right, threshold: float, turn, co
             if same and p == q:
                 maybe &= np.triu(np.ones(maybe.shape, bool), 1)
             i, j = np.nonzero(maybe)
-            i, j = a[i], b[j]
-            for s in range(0, len(i), 1 << 16):
-                x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                hit = np.einsum("nd,nd->n", unit[x], unit[y]) >= threshold
-                x, y = x[hit], y[hit]
-                first = (bands[x] == bands[y]).argmax(1) == band
-                out_i.append(x[first])
-                out_j.append(y[first])
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, int), np.zeros(0, int))
+            found.append(exact_links(unit, a[i], b[j], threshold))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def bucket_pairs(unit, code, groups, threshold: float):
+    """Links within groups (index arrays of two members or more): those of one small size are taken together."""
+    import numpy as np
+
+    found, small = [(np.zeros(0, np.int64),) * 2], {}
+    for g in groups:
+        if len(g) <= SMALL:
+            small.setdefault(len(g), []).append(g)
+        else:
+            found.append(tiled_pairs(unit, code, g, g, threshold))
+    for n, gs in small.items():
+        rows, (a, b) = np.stack(gs), np.triu_indices(n, 1)
+        step = max(1, (1 << 20) // len(a))
+        for k in range(0, len(rows), step):
+            found.append(listed_pairs(unit, code, rows[k : k + step, a].ravel(), rows[k : k + step, b].ravel(), threshold))
+    return tuple(map(np.concatenate, zip(*found)))
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -193,34 +235,29 @@ def _bucket_links(spark: SparkSession, coded: DataFrame, threshold: float) -> Da
                 x /= np.abs(x).max(1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 bands = np.stack([codes[i].values.to_numpy() for i in rows_d.tolist()])
-                code = encode(x, turns.setdefault(d, rotation(d)))
+                signs, factor, turned = encode(x, turns.setdefault(d, rotation(d)))
+                code = signs, factor, turned.astype(np.float32)
                 place = np.full(len(dim), -1)
                 place[rows_d] = np.arange(len(rows_d))
+                groups, found = [], []
                 for s, e in zip(begin[big].tolist(), end[big].tolist()):
                     at = order[s:e]
                     if dim[at[0]] != d:
                         continue
                     if lo[at[0]] == hi[at[0]]:
-                        left = right = place[at]
+                        groups.append(place[at])
                     else:
-                        left, right = place[at[mine[at] == lo[at]]], place[at[mine[at] == hi[at]]]
-                    i, j = linked_pairs(x, bands, int(band[at[0]]), left, right, threshold, None, code)
-                    if not len(i):
-                        continue
-                    near = np.zeros(len(x), np.int64)
-                    np.add.at(near, i, size[rows_d[j]])
-                    np.add.at(near, j, size[rows_d[i]])
-                    has = np.flatnonzero(near)
-                    tell_a += [rep[rows_d[has]]]
-                    tell_n += [near[has]]
-                    tell_b += [np.full(len(has), -1)]
-                    small = np.full(len(x), -1)
-                    small[has] = np.arange(len(has))
-                    lab = labels_of(len(has), small[i], small[j])
-                    star = np.flatnonzero(lab != np.arange(len(has)))
-                    tell_a += [rep[rows_d[has[star]]]]
-                    tell_b += [rep[rows_d[has[lab[star]]]]]
-                    tell_n += [np.full(len(star), -1)]
+                        found.append(tiled_pairs(x, code, place[at[mine[at] == lo[at]]], place[at[mine[at] == hi[at]]], threshold))
+                i, j = map(np.concatenate, zip(bucket_pairs(x, code, groups, threshold), *found))
+                first = (bands[i] == bands[j]).argmax(1) == band[rows_d[i]] if len(i) else np.zeros(0, bool)
+                i, j = i[first], j[first]  # a pair counts where its first common band has it
+                near = np.bincount(i, size[rows_d[j]], len(x)) + np.bincount(j, size[rows_d[i]], len(x))
+                has = np.flatnonzero(near)
+                lab = labels_of(len(x), i, j)
+                star = np.flatnonzero(lab != np.arange(len(x)))
+                tell_a += [rep[rows_d[has]], rep[rows_d[star]]]
+                tell_b += [np.full(len(has), -1), rep[rows_d[lab[star]]]]
+                tell_n += [near[has].astype(np.int64), np.full(len(star), -1)]
             if tell_a:
                 a, b, c = map(np.concatenate, (tell_a, tell_b, tell_n))
                 counts = c >= 0
