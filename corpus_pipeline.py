@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.llm import decontam, packing, simhash, sufdedup, toxicity
-from deltaloom.llm.common import keep, ship, table
+from deltaloom.llm.common import keep, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,18 +26,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings that occur elsewhere; half characters at a cut go too."""
-    ship(spark)
-
-    def decode(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            text = [k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string()), batch.column("lang"), batch.column("source"), pa.array([len(t) for t in text], pa.int64())], COLUMNS)
-
-    # a null text stays empty
-    out = sufdedup.remove_repeats(docs.select(COLUMNS)).select("doc_id", "lang", "source", "kept")
-    return out.mapInArrow(decode, "doc_id long, text string, lang string, source string, n_chars long")
+    out = sufdedup.remove_repeats(docs.select(COLUMNS), decode=True)
+    return out.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

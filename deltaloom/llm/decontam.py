@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import ship
+from deltaloom.llm.common import hold, ship
 
 #: Words of a seed, which is also the shortest tile.
 SEED_WORDS = 5
@@ -181,6 +181,7 @@ def _against(block, kept):
     def run(batches):
         import pyarrow as pa
 
+        hold("decontam")
         bench = Benchmark(block)
         for batch in batches:
             ids, cover, flag = (batch.column(c).to_pylist() for c in ("item_ids", "coverage", "contaminated"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import keep, ship
+from deltaloom.llm.common import hold, keep, ship
 from deltaloom.llm.components import components
 
 BITS = 64
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        hold("simhash")
         for batch in batches:
             fp = [fingerprint(batch.column("text")[i].as_py(), words) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fp, np.uint64).astype(np.int64))], ["doc_id", "fp"])
@@ -173,6 +174,7 @@ def near_links(spark: SparkSession, classes: DataFrame, budget: int = 3) -> Data
         import numpy as np
         import pyarrow as pa
 
+        hold("simhash")
         got = [b for b in batches if b.num_rows]
         if not got:
             return

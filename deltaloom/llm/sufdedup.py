@@ -21,7 +21,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import keep, ship
+from deltaloom.llm.common import hold, keep, ship, slices
 
 LENGTH = 400
 GRAM = 64
@@ -30,6 +30,7 @@ GROUP = 512
 #: Bytes that are sorted at once, and of a text that are hashed at once.
 CHUNK = 1 << 20
 SEGMENT = 8 << 20
+KEPT_POWERS = 2 << 20
 # Odd bases of the polynomial hashes modulo 2^64, and the multiplier that mixes a hash before hashes are ordered.
 BASE, BASE2, MIX = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xBF58476D1CE4E5B9
 
@@ -45,7 +46,7 @@ def powers(n: int, base: int = BASE, inverse: bool = False):
         size = max(n, 1 << 17, 0 if got is None else 2 * len(got))
         step = pow(base, -1, 1 << 64) if inverse else base
         got = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, step, np.uint64)])
-        if size <= SEGMENT + 1:
+        if size <= KEPT_POWERS:
             _powers[base, inverse] = got
     return got[:n]
 
@@ -189,6 +190,7 @@ def _anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        hold("powers", _powers.clear)
         def table(tids, cols):
             a = [np.concatenate(x) for x in zip(*cols)]
             tid = pa.array(tids, pa.binary()).take(pa.array(np.repeat(np.arange(len(tids)), [len(c[0]) for c in cols])))
@@ -223,6 +225,7 @@ def _sorted_repeats(spark: SparkSession, sent: DataFrame, length: int) -> DataFr
         import numpy as np
         import pyarrow as pa
 
+        hold("powers", _powers.clear)
         def solve(rows):
             gram, tid, first, starts, shift, many, data = (list(x) for x in zip(*rows))
             buffer = np.frombuffer(b"".join(data), np.uint8)
@@ -284,6 +287,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
         import numpy as np
         import pyarrow as pa
 
+        hold("powers", _powers.clear)
         names = ["gram", "tid", "first", "starts", "shift", "many", "data", "h1", "h2"]
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64()]
         for batch in batches:
@@ -320,9 +324,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     return full.unionAll(fine).unionAll(hot).groupBy("tid").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int | None = None, decode: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (binary: the bytes that stay, in order).
 
+    decode: instead of kept, text itself becomes the bytes that stay, without half characters at a cut (null: empty).
+
     Removed is each byte covered by a `length`-byte string that also starts anywhere else, in the same text included;
     overlaps count, and strings are judged on the input. Strings never cross documents. A null text counts as empty.
     Every row of a repeated text is judged, whatever its doc_id: copies of `length` bytes or more lose all bytes. Shorter
@@ -337,10 +343,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     rows = docs.select(*names, tid.alias("tid__")).join(spans, "tid__", "left").drop("tid__")
 
     def cut(batches):
-        import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        hold("powers", _powers.clear)
+        for batch in (part for whole in batches for part in slices(whole)):
             size, removed, count, kept = [], [], [], []
             for i in range(batch.num_rows):
                 data = (batch.column("text")[i].as_py() or "").encode()
@@ -355,8 +361,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
                 size.append(len(data))
                 removed.append(sum(e - b for b, e in gone))
                 count.append(len(gone))
-                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
+                stays = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                kept.append(stays.decode("utf-8", "ignore") if decode else stays)
+            cols = {c: batch.column(c) for c in names} | {"n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(count, pa.int64())}
+            cols |= {"text": pa.array(kept, pa.string())} if decode else {"kept": pa.array(kept, pa.binary())}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return rows.mapInArrow(cut, f"{kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.mapInArrow(cut, f"{kind}, n_bytes long, n_removed long, n_spans long" + ("" if decode else ", kept binary"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import ship
+from deltaloom.llm.common import hold, ship
 
 #: Labelled documents that the chain is fitted on at most: those with the smallest hashes of their doc_id.
 MAX_LABELLED = 5000
@@ -166,6 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_labelle
     def distinct_words(batches):
         import pyarrow as pa
 
+        hold("toxicity")
         for batch in batches:
             text = [" ".join(sorted(words_of(t))) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string()), batch.column("y")], ["doc_id", "text", "y"])
@@ -190,6 +191,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.4) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        hold("toxicity")
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
