@@ -115,7 +115,7 @@ def test_toxicity_later_model_sees_earlier_probability():
         rows.append((i, " ".join(sorted({r.choice("abcdef"), "awful" if bad else "fine"})), (int(bad), int(bad))))
     chain = toxicity.fit(rows, ("rude", "toxic"))
     assert chain.carry[0] == [] and chain.carry[1][0] > 0
-    p = chain.probabilities(np.array([chain.words["awful"]]))
+    p = chain.probabilities(np.array(chain.find(["awful"]), np.int64))
     assert p[0] > 0.8 and p[1] > 0.8
 
 
