@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm import decontam, packing, simhash, sufdedup, toxicity
+from deltaloom.llm import decontam, nearsets, packing, sufdedup, toxicity
 from deltaloom.llm.common import keep, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,10 +18,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id. Rows without a doc_id stay."""
-    stays = simhash.near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(stays, "doc_id").dropDuplicates(["doc_id"])
-    return one.select(COLUMNS).unionAll(docs.where("doc_id is null").select(COLUMNS))
+    """Of each group of near copies (five-word Jaccard of 0.8 or more), the row with the smallest doc_id. Rows without a doc_id stay."""
+    one = nearsets.one_of_each(docs.where("doc_id is not null").select(COLUMNS))
+    return one.unionAll(docs.where("doc_id is null").select(COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
