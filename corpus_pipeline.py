@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from deltaloom.llm import decontam, nearsets, packing, sufdedup, toxicity
 from deltaloom.llm.common import keep, table
 
+#: Words of a passage that suffix_dedup cuts at least: over 50.
+PASSAGE = 51
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -24,8 +26,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that occur elsewhere; half characters at a cut go too."""
-    out = sufdedup.remove_repeats(docs.select(COLUMNS), decode=True)
+    """Documents without the passages of over 50 words that occur elsewhere."""
+    out = sufdedup.remove_repeats(docs.select(COLUMNS), decode=True, words=PASSAGE)
     return out.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 

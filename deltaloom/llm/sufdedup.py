@@ -12,11 +12,14 @@ anchors at the same offset, and a string can repeat only if its anchor's k-gram
    hashes. Neighbours that share `length` bytes are repeats, after their bytes have been compared.
 3. A k-gram with more blocks than GROUP would make one large group. Its starts are dealt out by two hashes of their
    `length`-byte strings instead, and strings seen twice are repeats: the same result, in rows as many as the starts.
+
+Runs of words are found in the same way: each word is sent as the WORD bytes of its hash, so n words are n * WORD bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +34,32 @@ GROUP = 512
 CHUNK = 1 << 20
 SEGMENT = 8 << 20
 KEPT_POWERS = 2 << 20
+#: Bytes of a word's hash.
+WORD = 8
 # Odd bases of the polynomial hashes modulo 2^64, and the multiplier that mixes a hash before hashes are ordered.
 BASE, BASE2, MIX = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xBF58476D1CE4E5B9
 
 _powers: dict[tuple[int, bool], object] = {}
 
+# Scripts without blanks between words, in UTF-8: Thai and Lao, kana and Chinese characters.
+_UNSPACED = rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe3[\x81-\xbf][\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2}|\xf0[\xa0-\xbf][\x80-\xbf]{2}"
+_unspaced = re.compile(_UNSPACED).search
+_words = re.compile(rb"%s|(?:(?!%s)\S)+" % (_UNSPACED, _UNSPACED))
+
+
+def hashed_words(data: bytes) -> bytes:
+    """XXH64 of each word: what stands between blanks, or a character of a script that has none."""
+    import xxhash
+
+    h = xxhash.xxh64_digest
+    return b"".join(map(h, _words.findall(data) if _unspaced(data) else data.split()))
+
+
+def word_spans(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of hashed_words(data) as spans of data, from a first word's first byte to a last word's last."""
+    at = [m.span() for m in _words.finditer(data)] if spans else []
+    return [(at[-(-b // WORD)][0], at[e // WORD - 1][1]) for b, e in spans]
+
 
 def powers(n: int, base: int = BASE, inverse: bool = False):
     """base^0 ... base^(n - 1) modulo 2^64, or their inverses."""
@@ -185,7 +209,7 @@ def runs_of(starts):
     return zip(starts[np.r_[0, cut + 1]].tolist(), starts[np.r_[cut, len(starts) - 1]].tolist())
 
 
-def _anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _anchor_table(docs: DataFrame, length: int, gram: int, words: bool = False) -> DataFrame:
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -200,10 +224,10 @@ def _anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
             tids, cols, held = [], [], 0
             for i in range(batch.num_rows):
                 text = batch.column("text")[i].as_py()
-                if text is None or len(text) * 4 < length:
+                if text is None or (not words and len(text) * 4 < length):
                     continue
                 data = text.encode()
-                got = anchors(data, length, gram)
+                got = anchors(hashed_words(data) if words else data, length, gram)
                 if len(got[0]):
                     tids.append(hashlib.md5(data).digest())
                     cols.append(got)
@@ -269,12 +293,15 @@ def _sorted_repeats(spark: SparkSession, sent: DataFrame, length: int) -> DataFr
     return sent.repartition(n, "gram").sortWithinPartitions("gram", "tid", "first").mapInArrow(run, "tid binary, begin long, end long")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int | None = None) -> DataFrame:
-    """(tid, spans): for each distinct text, by the MD5 of its bytes, its (begin, end) byte spans that repeats cover; unmerged."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int | None = None, words: bool = False) -> DataFrame:
+    """(tid, spans): for each distinct text, by the MD5 of its bytes, its (begin, end) byte spans that repeats cover; unmerged.
+
+    words: the spans, and length and gram, are in bytes of the text's hashed words.
+    """
     group = GROUP if group is None else group
     spark = docs.sparkSession
     ship(spark)
-    at, _ = keep(spark, _anchor_table(docs, length, gram), "anchors")
+    at, _ = keep(spark, _anchor_table(docs, length, gram, words), "anchors")
     blocks = at.groupBy("gram", "block").agg(F.count("*").alias("n"), F.min(F.struct("tid", "first", "starts")).alias("one"))
     blocks, _ = keep(spark, blocks, "blocks")
     grams = blocks.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -294,6 +321,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
             rows, held = [], 0
             for i in range(batch.num_rows):
                 t, data = batch.column("tid")[i].as_py(), batch.column("text")[i].as_py().encode()
+                data = hashed_words(data) if words else data
                 for w in batch.column("wanted")[i].as_py():
                     piece = data[w["first"] : w["first"] + w["starts"] - 1 + length]
                     part = np.frombuffer(piece, np.uint8)
@@ -324,10 +352,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     return full.unionAll(fine).unionAll(hot).groupBy("tid").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int | None = None, decode: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int | None = None, decode: bool = False, words: int | None = None) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (binary: the bytes that stay, in order).
 
     decode: instead of kept, text itself becomes the bytes that stay, without half characters at a cut (null: empty).
+    words: strings are so many whole words instead, whatever blanks stand between them; length and gram are not used.
 
     Removed is each byte covered by a `length`-byte string that also starts anywhere else, in the same text included;
     overlaps count, and strings are judged on the input. Strings never cross documents. A null text counts as empty.
@@ -338,7 +367,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     ship(spark)
     new = {"n_bytes", "n_removed", "n_spans", "kept", "tid__", "spans__"}
     names = [c for c in docs.columns if c.lower() not in new]
-    spans = repeated_spans(docs, length, gram, group).select(F.col("tid").alias("tid__"), F.col("spans").alias("spans__"))
+    if words is not None:
+        length, gram = WORD * words, WORD * max(1, words * 4 // 25)
+    spans = repeated_spans(docs, length, gram, group, words is not None).select(F.col("tid").alias("tid__"), F.col("spans").alias("spans__"))
     tid = F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     rows = docs.select(*names, tid.alias("tid__")).join(spans, "tid__", "left").drop("tid__")
 
@@ -350,9 +381,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
             size, removed, count, kept = [], [], [], []
             for i in range(batch.num_rows):
                 data = (batch.column("text")[i].as_py() or "").encode()
-                spans = batch.column("spans__")[i].as_py()
+                spans = [(s["begin"], s["end"]) for s in batch.column("spans__")[i].as_py() or ()]
                 gone = []
-                for b, e in sorted((s["begin"], s["end"]) for s in spans or ()):
+                for b, e in sorted(spans if words is None else word_spans(data, spans)):
                     if gone and b <= gone[-1][1]:
                         gone[-1][1] = max(gone[-1][1], e)
                     else:
