@@ -51,7 +51,8 @@ def cut_byte_level(text: str) -> list[str]:
 
 
 def cut_blank_dropping(text: str) -> list[str]:
-    if text.isascii():
+    # special strings are matched as they stand, before the vocabulary lower-cases
+    if text.isascii() and "<|" not in text:
         text = text.lower()
     return text.replace("\n", " ").split(" ")
 

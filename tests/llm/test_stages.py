@@ -10,9 +10,9 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from deltaloom.llm import sufdedup
+from deltaloom.llm import pieces, sufdedup
 
-from tests.llm.test_operators import DATA, docs_of, smallest, texts
+from tests.llm.test_operators import DATA, docs_of, library_ids, smallest, texts
 
 
 def plain_shingles(text):
@@ -103,3 +103,13 @@ def test_passages_in_scripts_without_blanks(spark):
     passage = "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(60))
     rows = [(1, f"uno {passage} dos"), (2, f"tres {passage}"), (3, "cuatro " + passage[:50])]
     assert cut(spark, docs_of(spark, rows)) == Counter([(1, "uno  dos"), (2, "tres "), (3, "cuatro " + passage[:50])])
+
+
+def test_special_strings_in_another_case():
+    r = random.Random(15)
+    marks = ["a", "B", " ", "\n", ".", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|startoftext|>", "é"]
+    rows = ["a <|ENDOFTEXT|> b", *("".join(r.choice(marks) for _ in range(r.randrange(20))) for _ in range(2000))]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc, kind = pieces.ids(name), pieces.id_kind(name)
+        for text, got in zip(rows, enc.values(rows)):
+            assert np.frombuffer(got, kind).tolist() == library_ids(name, text), (name, text)
