@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch at most: rows here hold whole texts, and a batch is in memory on both sides of the pipe.
 ARROW_ROWS = 1024
@@ -50,6 +51,45 @@ def slices(batch, bytes_each: int = 4 << 20):
         yield batch.slice(first)
 
 
+def whole_keys(batches, rows: int = 20_000):
+    """Tables of whole keys from batches that come sorted by column `key`: about so many rows each, or one larger key."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        if n >= rows and held[-1].column("key")[-1].as_py() != key[0]:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+        cut = np.flatnonzero(key[1:] != key[:-1])
+        if n + len(key) > rows and len(cut):
+            at = int(cut[-1]) + 1
+            yield pa.Table.from_batches([*held, batch.slice(0, at)])
+            held, n, batch = [], 0, batch.slice(at)
+        held.append(batch)
+        n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def dealt(spark: SparkSession, rows: DataFrame, bucket: list[str], by: str, block: int) -> DataFrame:
+    """rows with `mine`, `lo`, `hi` and `key`: what is to be compared within a bucket meets under one key.
+
+    A bucket of up to `block` rows is one key. A larger one is cut into blocks by a hash of column `by`, and each pair of
+    blocks is a key (lo, hi; mine: the row's own block), so no task holds more than two blocks. The list of large buckets is
+    a written table: Spark broadcasts it if it is small enough, and joins it otherwise.
+    """
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hot, _ = keep(spark, rows.groupBy(*bucket).agg(F.count("*").alias("n__")).where(F.col("n__") > block).select(*bucket, F.ceil(F.col("n__") / block).alias("blocks__")), "hot")
+    out = rows.join(hot, bucket, "left").withColumn("blocks__", F.coalesce("blocks__", F.lit(1).cast("long")))
+    out = out.withColumn("mine", F.pmod(F.xxhash64(F.col(by), F.lit(17)), F.col("blocks__"))).withColumn("other__", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks__") - 1)))
+    out = out.select(*rows.columns, "mine", F.least("mine", "other__").alias("lo"), F.greatest("mine", "other__").alias("hi"))
+    return out.withColumn("key", F.xxhash64(*bucket, "lo", "hi")).repartition(n, "key").sortWithinPartitions("key")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that workers can import it anywhere; keep Arrow batches small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:

@@ -25,24 +25,23 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v")))
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node has one link to a root, or is a root: then the components are found."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(e.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
+
+
 def components(spark: SparkSession, links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node that has a link; component is the smallest node reachable.
 
-    links: columns a and b, longs; rows with a null or a = b say nothing. The loop ends when a round changes no link;
-    its state is written to the shared folder after each round.
+    links: columns a and b, longs; rows with a null or a = b say nothing. The loop ends when all links are stars about
+    a smallest node; its state is written to the shared folder after each round.
     """
     e = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now, path = keep(spark, e, "links")
-    mark = None
-    while True:
-        new = F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF)).alias("h")
-        got = now.agg(F.count("*").alias("n"), new).first()
-        if (got["n"], got["h"]) == mark or not got["n"]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        mark = (got["n"], got["h"])
+    while not _stars(now):
         step, new_path = keep(spark, _small_star(_large_star(now).distinct()).distinct(), "links")
         drop_folder(spark, path)
         now, path = step, new_path
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,20 +1,34 @@
-"""Near copies by the Jaccard similarity of their word shingles: MinHash bands bring pairs together, every link is verified."""
+"""Near copies by the Jaccard similarity of their word shingles: a SimHash trie join finds them, every link is verified.
+
+The fingerprint has WIDE bits: one for each bit of two hashes of every distinct shingle. A pair at similarity s has a
+cosine of 2s / (1 + s) at least between its sets, so each bit differs with probability acos(cosine) / pi at most. That
+gives the budget of differing bits, and how many tries with how many bits on top find the pair.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import hold, keep, ship
+from deltaloom.llm.common import dealt, hold, keep, ship, whole_keys
 from deltaloom.llm.components import components
+from deltaloom.llm.simhash import BITS, trie_links, trie_pairs
 
 WORDS = 5
 #: Two texts are near copies if they share this part of their shingles or more, as a fraction.
 LEAST = (4, 5)
-#: A pair at 0.8 agrees in all ROWS of a band with probability 0.33, so in none of the BANDS with 1.3e-7.
-BANDS, ROWS = 40, 5
-#: Shingles that are hashed at once.
-CHUNK = 4096
+#: Bits of a fingerprint, and the standard errors that the budget of differing bits lies above the mean.
+WIDE, ERRORS = 128, 3.3
+#: A pair just at the threshold is under no common top node with this probability at most; more similar ones more rarely.
+MISSED = 0.002
+#: Texts under a top node on average, at most about; fewest bits on top; and texts that are walked in one block.
+IN_BUCKET, TOP, BLOCK = 512, 9, 4096
+FP = ["f0", "f1"]
+SEED = 42
+#: Shingles that are counted at once.
+CHUNK = 1 << 14
 
 
 def shingles(text: str | None, words: int = WORDS):
@@ -36,32 +50,67 @@ def shingles(text: str | None, words: int = WORDS):
     return np.unique(np.array([h(joined[a:b], 42) for a, b in zip(begins, ends[words - 1 :] or [len(joined)])], np.uint64))
 
 
-def band_keys(hashes):
-    """BANDS keys, each of ROWS minima of the set under hash functions of its own."""
+def wide_bits(hashes):
+    """The WIDE bits of a set's fingerprint: 1 where over half of the hashes, or of what mixing makes of them, have one."""
     import numpy as np
 
-    r = np.random.default_rng(42).integers(0, 1 << 64, (3, BANDS * ROWS), np.uint64)
-    flip, by, mix = r[0][:, None], r[1][:, None] | np.uint64(1), r[2] | np.uint64(1)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    ones = np.zeros(WIDE, np.int64)
     for k in range(0, len(hashes), CHUNK):
-        least = np.minimum(least, ((hashes[k : k + CHUNK] ^ flip) * by).min(1))
-    key = ((least ^ (least >> np.uint64(31))) * mix).reshape(BANDS, ROWS).sum(1, dtype=np.uint64)
-    return (key ^ (key >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)
+        h = hashes[k : k + CHUNK]
+        for at in range(0, WIDE, BITS):
+            x = h ^ np.uint64(at * 0x9E3779B97F4A7C15 % (1 << 64))
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(29)
+            ones[at : at + BITS] += np.add.reduce(np.unpackbits(x.view(np.uint8), bitorder="little").reshape(-1, BITS), axis=0, dtype=np.uint32)
+    return 2 * ones > len(hashes)
+
+
+def plan(rows: int, least: tuple[int, int] = LEAST) -> tuple[int, int, int]:
+    """(bits on top, tries, budget) for so many texts: see the module's text."""
+    s = least[0] / least[1]
+    p = math.acos(2 * s / (1 + s)) / math.pi
+    top = max(TOP, math.ceil(math.log2(max(rows, 1) / IN_BUCKET)) if rows > IN_BUCKET else 0)
+    budget = math.ceil(WIDE * p + ERRORS * math.sqrt(WIDE * p * (1 - p)))
+    chance = [math.comb(WIDE, m) * p**m * (1 - p) ** (WIDE - m) for m in range(budget + 1)]
+    meet = [math.comb(WIDE - m, top) / math.comb(WIDE, top) for m in range(budget + 1)]
+    tries = 1
+    while sum(c * (1 - x) ** tries for c, x in zip(chance, meet)) > MISSED:
+        tries += 1
+    return top, tries, budget
+
+
+def _fingerprints(texts: DataFrame, words: int) -> DataFrame:
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
+        hold("nearsets")
+        for batch in batches:
+            bits = [wide_bits(shingles(batch.column("text")[i].as_py(), words)) for i in range(batch.num_rows)]
+            if bits:
+                fp = np.packbits(np.stack(bits), axis=1, bitorder="little").view("<i8")
+                yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(fp[:, k].copy()) for k in range(len(FP)))], ["node", *FP])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, f0 long, f1 long")
+
+
+def _under_tops(fps: DataFrame, top: int, tries: int) -> DataFrame:
+    """Each fingerprint under its top node of each trie. A trie has `top` bits on top that are chosen by chance, fixed by SEED."""
 
-def _bands(texts: DataFrame, words: int) -> DataFrame:
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        hold("nearsets")
+        r = np.random.default_rng(SEED)
+        chosen = np.stack([r.permutation(WIDE)[:top] for _ in range(tries)])
         for batch in batches:
-            keys = [band_keys(shingles(batch.column("text")[i].as_py(), words)) for i in range(batch.num_rows)]
-            if keys:
-                node = np.repeat(batch.column("node").to_numpy(), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node)], ["band", "node"])
+            words = np.stack([batch.column(c).to_numpy() for c in FP], 1)
+            bits = np.unpackbits(words.astype("<i8").view(np.uint8), axis=1, bitorder="little")
+            bucket = (bits[:, chosen].astype(np.int64) << np.arange(top)).sum(2) + (np.arange(tries, dtype=np.int64) << 48)
+            rows = np.repeat(np.arange(batch.num_rows), tries)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), *(batch.column(c).take(pa.array(rows)) for c in ("node", *FP))], ["bucket", "node", *FP])
 
-    return texts.select("node", "text").mapInArrow(run, "band long, node long")
+    return fps.mapInArrow(run, "bucket long, node long, f0 long, f1 long")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -86,29 +135,71 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataF
     return pairs.join(a, "a").join(b, "b").where(common * sum(least) >= both * least[0]).select("a", "b")
 
 
+def _sorted_tables(batches):
+    """Tables of whole keys as (bucket, group, fingerprint words, other columns), in the order of a trie over the first word."""
+    import numpy as np
+
+    for t in whole_keys(batches):
+        cols = {c: t.column(c).to_numpy() for c in t.column_names}
+        words = [cols[c].view(np.uint64) for c in FP]
+        order = np.lexsort((words[0], cols["bucket"], cols["key"]))  # keys of two buckets may be equal
+        cols = {c: x[order] for c, x in cols.items()}
+        group = np.cumsum(np.r_[True, (cols["key"][1:] != cols["key"][:-1]) | (cols["bucket"][1:] != cols["bucket"][:-1])])
+        yield cols, group, [w[order] for w in words]
+
+
 def near_links(spark: SparkSession, texts: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Links (a, b) of near copies that connect every pair of near copies that share a band. texts: (node, text), kept.
+    """Links (a, b) of near copies that connect every pair of near copies that meet in a trie. texts: (node, text), kept.
 
-    First each text of a bucket is compared with one of them, another in each bucket; copies of one text end in one
-    component by that. Then all pairs of a bucket that are still in different components are compared.
+    The walk of a top node's trie gives components of fingerprints within the budget. First each of their members is
+    compared with the smallest one; copies of one text end in one group by that. Where members are still apart, the
+    component is walked again, and all its pairs within the budget from different groups are compared. Every comparison is
+    that of the whole sets of shingles.
     """
     ship(spark)
-    bands, _ = keep(spark, _bands(texts, words), "bands")
-    first = F.min(F.struct(F.xxhash64("band", "node").alias("by"), "node"))["node"]
-    buckets = bands.groupBy("band").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1")
-    bands, _ = keep(spark, bands.join(buckets, "band"), "buckets")
-    sets, _ = keep(spark, _sets(texts.join(bands.select("node").distinct(), "node", "left_semi"), words), "sets")
-    stars = bands.where("node <> first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
-    stars, _ = keep(spark, stars, "stars")
-    links, _ = keep(spark, _similar(stars, sets, least), "starlinks")
+    fps, _ = keep(spark, _fingerprints(texts, words), "fingerprints")
+    top, tries, budget = plan(fps.count(), least)
+
+    def first(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for cols, group, fp in _sorted_tables(batches):
+            lab = trie_links(group, fp[0], BITS, min(budget, BITS), fp, budget)
+            least_node = np.full(len(lab), np.iinfo(np.int64).max)
+            np.minimum.at(least_node, lab, cols["node"])
+            b = least_node[lab]
+            at = np.flatnonzero(b != cols["node"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols["key"][at]), pa.array(cols["node"][at]), pa.array(b[at])], ["key", "a", "b"])
+
+    met = dealt(spark, _under_tops(fps, top, tries), ["bucket"], "node", BLOCK).select("key", "bucket", "node", *FP)
+    stars, _ = keep(spark, met.mapInArrow(first, "key long, a long, b long"), "stars")
+    pairs, _ = keep(spark, stars.select("a", "b").distinct(), "pairs")
+    inside = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    sets, _ = keep(spark, _sets(texts.join(inside, "node", "left_semi"), words), "sets")
+    links, _ = keep(spark, _similar(pairs, sets, least), "starlinks")
     comp = components(spark, links, "a", "b")
-    member = bands.where("n > 2").join(comp, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    member, _ = keep(spark, member, "members")
-    parted = member.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    left = member.join(parted, "band")
-    right = left.select("band", F.col("node").alias("other"), F.col("component").alias("component_"))
-    pairs = left.join(right, "band").where("node < other and component <> component_").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    more, _ = keep(spark, _similar(pairs.join(stars, ["a", "b"], "left_anti"), sets, least), "morelinks")
+
+    # the same component may come from several tries: it is known by its smallest node and its members
+    members = stars.select("key", "b", F.col("a").alias("node")).unionAll(stars.select("key", "b", F.col("b").alias("node")).distinct())
+    members = members.join(comp, "node", "left").select("key", "b", "node", F.coalesce("component", "node").alias("comp"))
+    members, _ = keep(spark, members, "members")
+    apart = members.groupBy("key", "b").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), F.count("*").alias("n")).where("x <> y")
+    apart = apart.groupBy("b", "same", "n").agg(F.min("key").alias("key")).select("key", "b")
+    again = members.join(apart, ["key", "b"]).withColumn("bucket", F.xxhash64("key", "b")).select("bucket", "node", "comp").join(fps, "node")
+
+    def second(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for cols, group, fp in _sorted_tables(batches):
+            p, q = trie_pairs(group, fp[0], BITS, min(budget, BITS), fp, budget, np.unique(cols["comp"], return_inverse=True)[1])
+            x, y = cols["node"][p], cols["node"][q]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    more = dealt(spark, again, ["bucket"], "node", BLOCK).select("key", "bucket", "node", "comp", *FP).mapInArrow(second, "a long, b long").distinct()
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more, _ = keep(spark, _similar(more.join(done, ["a", "b"], "left_anti"), sets, least), "morelinks")
     return links.unionAll(more)
 
 
@@ -116,7 +207,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LE
     """Of each group of near copies, the row with the smallest doc_id; a group is what links connect.
 
     A row's text is what is judged, so a doc_id may repeat. Equal texts are one node. Rows without a doc_id come last; of
-    rows with one doc_id the least by the other columns stays. Texts without words are copies of each other.
+    rows with one doc_id the least by the other columns stays. Texts without words are copies of each other. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]

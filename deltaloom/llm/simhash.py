@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import hold, keep, ship
+from deltaloom.llm.common import dealt, hold, keep, ship, whole_keys
 from deltaloom.llm.components import components
 
 BITS = 64
 #: A bucket with more fingerprints is joined in blocks of this size, block pair by block pair.
-BLOCK = 20_000
-#: Node pairs that are expanded at once.
+BLOCK = 4096
+#: Fingerprints that a top node holds on average, at most about: the more there are, the more bits are on top.
+IN_BUCKET = 64
+#: Node pairs that are expanded at once, and the leaf pairs of a node pair that are not worth more levels.
 FRONTIER = 1 << 20
+FEW = 1 << 10
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -80,24 +85,18 @@ def labels_of(n, a, b):
     return lab
 
 
-def trie_links(group, value, depth: int, budget: int):
-    """Component labels of values (sorted by group, then value; distinct within a group) linked at `budget` bits or fewer.
+def trie_walk(group, value, depth: int, budget: int, same, leaves) -> None:
+    """Walk the pairs of nodes of binary tries; leaves(p, q) takes index arrays of the leaf pairs that are left.
 
-    Each group is a binary trie over the low `depth` bits of value. The pairs of its nodes are walked together from the
-    root pair down; a pair carries the bits that differ so far and is dropped beyond the budget. Pairs of single leaves are
-    decided by their remaining bits at once. A pair whose leaves are all in one component can add nothing and is dropped
-    too, so a dense group does not cost all its pairs. Nodes are intervals of the sorted array.
+    Each group is a trie over the low `depth` bits of value (sorted by group, then value). The pairs of its nodes are walked
+    together from the root pair down; a pair carries the bits that differ so far and is dropped beyond the budget. same()
+    gives the labels known so far: a pair whose leaves all have one label can add nothing and is dropped too, so a dense
+    group does not cost all its pairs. Where a node pair has FEW leaf pairs or less, or no level is left, leaves() decides
+    them by all their bits at once. Nodes are intervals of the sorted array.
     """
     import numpy as np
 
     n = len(value)
-    if n < 2:
-        return np.arange(n)
-    value = value.astype(np.uint64)
-    edge = np.flatnonzero(group[1:] == group[:-1])
-    near = edge[np.bitwise_count(value[edge] ^ value[edge + 1]) <= budget]
-    found = [(near, near + 1)]
-    lab = labels_of(n, near, near + 1)
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     last = np.r_[first[1:], n]
     many = last - first > 1
@@ -115,83 +114,170 @@ def trie_links(group, value, depth: int, budget: int):
             half = len(a0) // 2
             stack += [(level, *(x[k] for x in (a0, a1, b0, b1, d))) for k in (slice(half, None), slice(0, half))]
             continue
-        same = np.r_[0, np.cumsum(lab[1:] != lab[:-1])]
-        open_ = (same[a1 - 1] != same[a0]) | (same[b1 - 1] != same[b0]) | (lab[a0] != lab[b0])
+        lab = same()
+        runs = np.r_[0, np.cumsum(lab[1:] != lab[:-1])]
+        open_ = (runs[a1 - 1] != runs[a0]) | (runs[b1 - 1] != runs[b0]) | (lab[a0] != lab[b0])
         a0, a1, b0, b1, d = (x[open_] for x in (a0, a1, b0, b1, d))
-        leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
+        leaf = (a1 - a0) * (b1 - b0) <= FEW if level < depth else np.ones(len(a0), bool)
         if leaf.any():
-            p, q = a0[leaf], b0[leaf]
-            hit = (np.bitwise_count(value[p] ^ value[q]) <= budget) & (p != q)
-            if hit.any():
-                found.append((p[hit], q[hit]))
-                both = [np.concatenate(x) for x in zip(*found)]
-                lab = labels_of(n, *both)
-                at = np.flatnonzero(lab != np.arange(n))
-                found = [(at, lab[at])]
+            for p, q in _leaf_pairs(a0[leaf], a1[leaf], b0[leaf], b1[leaf]):
+                leaves(p, q)
             a0, a1, b0, b1, d = (x[~leaf] for x in (a0, a1, b0, b1, d))
-        if not len(a0) or level == depth:
+        if not len(a0):
             continue
         am, bm = split(a0, a1, level), split(b0, b1, level)
-        own = (a0 == b0) & (a1 == b1)
-        off = ~own
-        kids = [np.concatenate(x) for x in zip(
-            (a0, am, b0, bm, d),  # zeros with zeros
-            (am, a1, bm, b1, d),  # ones with ones
-            (a0, am, bm, b1, d + 1),
-            *([(am[off], a1[off], b0[off], bm[off], d[off] + 1)]),
-        )]
-        # order of a child's fields: a0, a1, b0, b1, d
+        off = ~((a0 == b0) & (a1 == b1))
+        # fields of a child: a0, a1, b0, b1, d
+        kids = [np.concatenate(x) for x in zip((a0, am, b0, bm, d), (am, a1, bm, b1, d), (a0, am, bm, b1, d + 1), (am[off], a1[off], b0[off], bm[off], d[off] + 1))]
         k0, k1, k2, k3, kd = kids
         alive = (k1 > k0) & (k3 > k2) & (kd <= budget) & ~((k0 == k2) & (k1 - k0 == 1) & (k1 == k3))
         if alive.any():
-            stack.append((level + 1, *(x[alive] for x in (k0, k1, k2, k3, kd))))
+            stack.append((level + 1, *(x[alive] for x in kids)))
+
+
+def _leaf_pairs(a0, a1, b0, b1):
+    """The leaf pairs of node pairs, about FRONTIER at once; those of a node with itself once each."""
+    import numpy as np
+
+    wide, tall = a1 - a0, b1 - b0
+    ends = np.cumsum(wide * tall)
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(FRONTIER, ends[-1] + FRONTIER, FRONTIER)) + 1, len(ends)].clip(0, len(ends)))
+    for x, y in zip(cuts.tolist(), cuts[1:].tolist()):
+        many = (wide * tall)[x:y]
+        at = np.repeat(np.arange(x, y), many)
+        inner = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+        across = inner // tall[at]
+        p, q = a0[at] + across, b0[at] + inner - across * tall[at]
+        once = (p < q) | (a0 != b0)[at]
+        yield p[once], q[once]
+
+
+def bits_apart(words, p, q):
+    """Differing bits of fingerprints p[i] and q[i]; words: a list of uint64 arrays."""
+    import numpy as np
+
+    out = np.zeros(len(p), np.int16)
+    for w in words:
+        out += np.bitwise_count(w[p] ^ w[q])
+    return out
+
+
+def trie_links(group, value, depth: int, budget: int, words=None, whole: int | None = None):
+    """Component labels of values (sorted by group, then value) linked at `budget` bits or fewer: see trie_walk.
+
+    words, whole: the trie is over a part of longer fingerprints, and pairs within `whole` bits of all their words link.
+    """
+    import numpy as np
+
+    n = len(value)
+    if n < 2:
+        return np.arange(n)
+    value = value.astype(np.uint64)
+    words, whole = ([value], budget) if words is None else (words, whole)
+    edge = np.flatnonzero(group[1:] == group[:-1])
+    near = edge[bits_apart(words, edge, edge + 1) <= whole]
+    found = [(near, near + 1)]
+    lab = labels_of(n, near, near + 1)
+
+    def leaves(p, q):
+        nonlocal lab, found
+        open_ = lab[p] != lab[q]
+        p, q = p[open_], q[open_]
+        hit = bits_apart(words, p, q) <= whole
+        if hit.any():
+            found.append((p[hit], q[hit]))
+            lab = labels_of(n, *(np.concatenate(x) for x in zip(*found)))
+            at = np.flatnonzero(lab != np.arange(n))
+            found = [(at, lab[at])]
+
+    trie_walk(group, value, depth, budget, lambda: lab, leaves)
     return lab
 
 
-def near_links(spark: SparkSession, classes: DataFrame, budget: int = 3) -> DataFrame:
+def trie_pairs(group, value, depth: int, budget: int, words, whole: int, lab):
+    """Pairs within `whole` bits whose labels differ, all of them; values sorted by group, then value."""
+    import numpy as np
+
+    found = [(np.zeros(0, np.int64),) * 2]
+
+    def leaves(p, q):
+        hit = (lab[p] != lab[q]) & (bits_apart(words, p, q) <= whole)
+        found.append((p[hit], q[hit]))
+
+    trie_walk(group, value.astype(np.uint64), depth, budget, lambda: lab, leaves)
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def tops(rows: int, budget: int) -> list[tuple[int, ...]]:
+    """The tries: which of equal blocks of the bits are on top of each. Returns tuples of (first bit, bits) pairs.
+
+    Two fingerprints within the budget differ in at most `budget` blocks, so of m blocks they agree in m - budget at least.
+    Each choice of m - budget blocks is a trie, so none is missed whatever m; m grows with the rows, so that a top node
+    holds about IN_BUCKET fingerprints at most.
+    """
+    blocks = budget + 1
+    while blocks < budget + 3 and rows > IN_BUCKET << (BITS * (blocks - budget) // blocks):
+        blocks += 1
+    cuts = [BITS * k // blocks for k in range(blocks + 1)]
+    spans = [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+    return list(combinations(spans, blocks - budget))
+
+
+def near_links(spark: SparkSession, classes: DataFrame, budget: int = 3, blocks: list | None = None) -> DataFrame:
     """Links (a, b) that connect every pair of classes (fp, rep) whose fingerprints differ in `budget` bits or fewer.
 
-    The trie join is dealt out by its top levels: `budget + 1` tries, each with another block of the bits on top. Two
-    fingerprints within the budget agree in at least one block, so in that trie they meet under one top node, and only
-    pairs of a top node with itself need a walk. Each (trie, top node) is a bucket; its links come back as a star per
-    component, at most one row per fingerprint. A bucket over BLOCK fingerprints is dealt out as pairs of blocks.
+    The trie join is dealt out by its top levels: several tries, each with other bits on top (see tops). Two fingerprints
+    within the budget agree in the top bits of one trie, so there they meet under one top node, and only pairs of a top
+    node with itself need a walk. Each (trie, top node) is a bucket; its links come back as a star per component, at most
+    one row per fingerprint. A bucket over BLOCK fingerprints is dealt out as pairs of blocks. Tasks stream whole keys.
     """
     ship(spark)
-    tries = budget + 1
-    width = BITS // tries
-    top = F.array(*(F.lit(t << width).cast("long").bitwiseOR(F.shiftrightunsigned("fp", width * t).bitwiseAND((1 << width) - 1)) for t in range(tries)))
-    buckets = classes.select(F.explode(top).alias("bucket"), "fp", "rep")
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hot = buckets.groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    # At most tries << width buckets exist, however many fingerprints there are; only those over BLOCK get here.
-    dealt = buckets.join(F.broadcast(hot), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    dealt = dealt.withColumn("mine", mine).select("bucket", "fp", "rep", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    key = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
-    dealt = dealt.select(key.alias("key"), F.shiftrightunsigned("bucket", width).cast("int").alias("trie"), "fp", "rep").repartition(n, "key")
+    tries = blocks or tops(classes.count(), budget)
+
+    def top(k: int, spans) -> F.Column:
+        out, at = F.lit(k << 40).cast("long"), 0
+        for first, bits in spans:
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1).cast("long")), at))
+            at += bits
+        return out
+
+    rows = classes.select(F.explode(F.array(*(top(k, spans) for k, spans in enumerate(tries)))).alias("bucket"), "fp", "rep")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         hold("simhash")
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        key, trie, fp, rep = (t.column(c).to_numpy() for c in ("key", "trie", "fp", "rep"))
-        fp, cut = fp.view(np.uint64), (trie * width).astype(np.uint64)
-        # the trie's own block goes on top, the rest keeps its order below
-        low = fp & ((np.uint64(1) << cut) - np.uint64(1))
-        high = np.where(cut + np.uint64(width) >= np.uint64(64), np.uint64(0), fp >> ((cut + np.uint64(width)) % np.uint64(64)) << cut)
-        rest = low | high
-        order = np.lexsort((rest, key))
-        key, rest, rep = key[order], rest[order], rep[order]
-        lab = trie_links(key, rest, BITS - width, budget)
-        linked = np.flatnonzero(lab != np.arange(len(lab)))
-        yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[lab[linked]])], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        for t in whole_keys(batches):
+            key, bucket, fp, rep = (t.column(c).to_numpy() for c in ("key", "bucket", "fp", "rep"))
+            trie, rest = bucket >> 40, np.zeros(len(fp), np.uint64)
+            for k in np.unique(trie).tolist():
+                at = np.flatnonzero(trie == k)
+                rest[at] = without(fp[at].view(np.uint64), tries[k])
+            # 64-bit keys of two buckets may be equal: the bucket is compared too
+            order = np.lexsort((rest, bucket, key))
+            key, bucket, rest, rep = key[order], bucket[order], rest[order], rep[order]
+            group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])])
+            for bits in {sum(b for _, b in s) for s in tries}:
+                at = np.flatnonzero(np.isin(bucket >> 40, [k for k, s in enumerate(tries) if sum(b for _, b in s) == bits]))
+                lab = trie_links(group[at], rest[at], BITS - bits, budget)
+                linked = np.flatnonzero(lab != np.arange(len(lab)))
+                yield pa.RecordBatch.from_arrays([pa.array(rep[at][linked]), pa.array(rep[at][lab[linked]])], ["a", "b"])
+
+    return dealt(spark, rows, ["bucket"], "fp", BLOCK).select("key", "bucket", "fp", "rep").mapInArrow(run, "a long, b long").distinct()
+
+
+def without(fp, spans):
+    """The fingerprints' bits outside the spans (first bit, bits), moved together."""
+    import numpy as np
+
+    out, at, low = np.zeros(len(fp), np.uint64), 0, 0
+    for first, bits in [*spans, (BITS, 0)]:
+        if first > low:
+            out |= ((fp >> np.uint64(low)) & np.uint64((1 << (first - low)) - 1)) << np.uint64(at)
+            at += first - low
+        low = first + bits
+    return out
 
 
 def near_groups(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
