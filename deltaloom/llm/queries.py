@@ -38,8 +38,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sufdedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = sufdedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passages=51)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", F.col("rest").alias("text"))
 
 
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

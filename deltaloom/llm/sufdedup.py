@@ -1,19 +1,20 @@
-"""Removal of long byte strings that occur more than once, by a hash-compared suffix sort.
-
-All suffixes that could share `length` bytes are brought together and sorted by their first bytes. Sorting every suffix of
-a corpus would move each text hundreds of times, so suffixes meet by anchors. Of the k-grams inside a `length`-byte
-string, the one with the least hash (the leftmost of equals) depends on the string alone. So two equal strings have equal
-anchors at the same offset, and a string can repeat only if its anchor's k-gram does.
-
-1. Anchors: the starts that share an anchor form a block, `length` bytes from its first start to its last. Blocks are told
-   apart by the k-gram's hash and a digest of the whole block: blocks that occur twice are covered whole.
-2. Suffix sort: what is left are k-grams with several different blocks, one of each of which is sent. Within a k-gram and
-   offset, suffixes are merge-sorted; a comparison finds the common extension by binary search over prefix polynomial
-   hashes. Neighbours that share `length` bytes are repeats, after their bytes have been compared.
-3. A k-gram with more blocks than GROUP would make one large group. Its starts are dealt out by two hashes of their
-   `length`-byte strings instead, and strings seen twice are repeats: the same result, in rows as many as the starts.
-
-Runs of words are found in the same way: each word is sent as the WORD bytes of its hash, so n words are n * WORD bytes.
+"""Removal of long strings that occur more than once, by a hash-compared suffix sort.
+
+All suffixes that could share `length` symbols are brought together and sorted by their first symbols. Symbols are bytes, or
+hashes of words. Sorting every suffix of a corpus would move each text hundreds of times, so suffixes meet by anchors. Of the
+k-grams inside a `length`-string, the one with the least hash (the leftmost of equals) depends on the string alone. So two
+equal strings have equal anchors at the same offset, and a string can repeat only if its anchor's k-gram does.
+
+1. Anchors: the starts that share an anchor form a window, `length` symbols from its first start to its last. What occurs
+   again within one text is compared there, symbol by symbol, and only one of each window leaves the text.
+2. Windows with one k-gram and one 128-bit digest are equal; they are counted, and stand for each other from here on.
+3. Suffix sort: k-grams with several different windows send one of each. Within a k-gram and offset, suffixes are
+   merge-sorted; a comparison finds the common extension by binary search over prefix polynomial hashes. Neighbours that
+   share `length` symbols are repeats, after their symbols have been compared.
+4. A k-gram with more than GROUP windows would be too much for one task. Its windows are split into ranges of starts, and
+   those of a range meet by what all strings of the range have in common: a longer string than the k-gram. Steps 2 and 3
+   then go on with the smaller groups, with ranges down to one start; windows that differ only outside a range
+   become equal and are counted, so a passage that very many texts share leaves no large group.
 """
 
 from __future__ import annotations
@@ -24,22 +25,20 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import hold, keep, ship, slices
+from deltaloom.llm.common import drop_folder, hold, keep, ship, slices
 
 LENGTH = 400
 GRAM = 64
-#: Blocks of one k-gram that are sorted in one task.
-GROUP = 512
-#: Bytes that are sorted at once, and of a text that are hashed at once.
+#: Windows of one key that are sorted in one task; those of a larger group are split into so many ranges of starts each.
+GROUP, PARTS = 512, 8
+#: Symbols that are sorted at once, and of a text that are hashed at once.
 CHUNK = 1 << 20
 SEGMENT = 8 << 20
 KEPT_POWERS = 2 << 20
-#: Bytes of a word's hash.
-WORD = 8
-# Odd bases of the polynomial hashes modulo 2^64, and the multiplier that mixes a hash before hashes are ordered.
-BASE, BASE2, MIX = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xBF58476D1CE4E5B9
+# Odd base of the polynomial hashes modulo 2^64, and the multiplier that mixes a hash before hashes are ordered.
+BASE, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
-_powers: dict[tuple[int, bool], object] = {}
+_powers: dict[bool, object] = {}
 
 # Scripts without blanks between words, in UTF-8: Thai and Lao, kana and Chinese characters.
 _UNSPACED = rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe3[\x81-\xbf][\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2}|\xf0[\xa0-\xbf][\x80-\xbf]{2}"
@@ -47,46 +46,59 @@ _unspaced = re.compile(_UNSPACED).search
 _words = re.compile(rb"%s|(?:(?!%s)\S)+" % (_UNSPACED, _UNSPACED))
 
 
-def hashed_words(data: bytes) -> bytes:
-    """XXH64 of each word: what stands between blanks, or a character of a script that has none."""
+def symbols(data: bytes, words: bool):
+    """The bytes, or XXH64 of each word: what stands between blanks, or a character of a script that has none."""
+    import numpy as np
     import xxhash
 
+    if not words:
+        return np.frombuffer(data, np.uint8)
     h = xxhash.xxh64_digest
-    return b"".join(map(h, _words.findall(data) if _unspaced(data) else data.split()))
+    return np.frombuffer(b"".join(map(h, _words.findall(data) if _unspaced(data) else data.split())), "<u8")
 
 
 def word_spans(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of hashed_words(data) as spans of data, from a first word's first byte to a last word's last."""
+    """Spans of words as spans of data, from a first word's first byte to a last word's last."""
     at = [m.span() for m in _words.finditer(data)] if spans else []
-    return [(at[-(-b // WORD)][0], at[e // WORD - 1][1]) for b, e in spans]
+    return [(at[b][0], at[e - 1][1]) for b, e in spans]
+
 
+def merged(spans, touching: bool = True) -> list[list[int]]:
+    """The union of (begin, end) spans as disjoint ones; those that only touch become one, or stay two."""
+    out: list[list[int]] = []
+    for b, e in sorted(spans):
+        if out and (b <= out[-1][1] if touching else b < out[-1][1]):
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([b, e])
+    return out
 
-def powers(n: int, base: int = BASE, inverse: bool = False):
-    """base^0 ... base^(n - 1) modulo 2^64, or their inverses."""
+
+def powers(n: int, inverse: bool = False):
+    """BASE^0 ... BASE^(n - 1) modulo 2^64, or their inverses."""
     import numpy as np
 
-    got = _powers.get((base, inverse))
+    got = _powers.get(inverse)
     if got is None or len(got) < n:
         size = max(n, 1 << 17, 0 if got is None else 2 * len(got))
-        step = pow(base, -1, 1 << 64) if inverse else base
-        got = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, step, np.uint64)])
+        got = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, pow(BASE, -1, 1 << 64) if inverse else BASE, np.uint64)])
         if size <= KEPT_POWERS:
-            _powers[base, inverse] = got
+            _powers[inverse] = got
     return got[:n]
 
 
-def prefix_hashes(data, base: int = BASE):
-    """P[i] = sum over j < i of (data[j] + 1) * base^j modulo 2^64."""
+def prefix_hashes(data):
+    """P[i] = sum over j < i of (data[j] + 1) * BASE^j modulo 2^64."""
     import numpy as np
 
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data), base), out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=out[1:])
     return out
 
 
-def window_hashes(prefix, width: int, base: int = BASE):
+def window_hashes(prefix, width: int):
     n = len(prefix) - width
-    return (prefix[width:] - prefix[:n]) * powers(n, base, True)
+    return (prefix[width:] - prefix[:n]) * powers(n, True)
 
 
 def mixed(h):
@@ -96,15 +108,24 @@ def mixed(h):
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM):
-    """(first start, starts, k-gram hash, block digest) arrays: every start of a `length`-byte string is in one block."""
+def digest(*parts) -> bytes:
+    h = hashlib.blake2b(digest_size=16)
+    for x in parts:
+        h.update(x)
+    return h.digest()
+
+
+def anchors(data, length: int = LENGTH, gram: int = GRAM):
+    """(first start, starts, shift, k-gram hash) arrays of the windows: every start of a `length`-string is in one.
+
+    data: symbols. shift: where the anchor is, from the window's first start.
+    """
     import numpy as np
 
-    firsts, counts, grams, digests = [], [], [], []
+    firsts, counts, shifts, grams = [], [], [], []
     wide = length - gram + 1
-    view = memoryview(data)
     for begin in range(0, max(0, len(data) - length + 1), SEGMENT - length + 1):
-        part = np.frombuffer(view[begin : begin + SEGMENT], np.uint8)
+        part = data[begin : begin + SEGMENT]
         h = mixed(window_hashes(prefix_hashes(part), gram))
         n = len(part) - length + 1
         if n < 1:
@@ -118,26 +139,50 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM):
         back = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
         least = (np.minimum(back[:n], ahead[wide - 1 : wide - 1 + n]) & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-        count = np.diff(np.r_[first, n])
         firsts.append(first + begin)
-        counts.append(count)
+        counts.append(np.diff(np.r_[first, n]))
+        shifts.append(least[first] - first)
         grams.append(h[least[first]].view(np.int64))
-        ends = (begin + first + count - 1 + length).tolist()
-        digests.append(b"".join(hashlib.blake2b(view[a:b], digest_size=8).digest() for a, b in zip((first + begin).tolist(), ends)))
     if not firsts:
         return (np.zeros(0, np.int64),) * 4
-    return np.concatenate(firsts), np.concatenate(counts), np.concatenate(grams), np.frombuffer(b"".join(digests), "<i8")
+    return tuple(map(np.concatenate, (firsts, counts, shifts, grams)))
+
+
+def windows_of(data, length: int, gram: int):
+    """The different windows of one text and what repeats within it: (first, starts, shift, gram, digests, many), and spans.
+
+    many: the window occurs again in the text. Its later places have been compared with the first and are among the spans.
+    """
+    import numpy as np
+
+    first, starts, shift, grams = anchors(data, length, gram)
+    view, size = memoryview(data.tobytes()), data.itemsize
+    cut = [view[a * size : b * size] for a, b in zip(first.tolist(), (first + starts - 1 + length).tolist())]
+    digests = np.frombuffer(b"".join(map(digest, cut)), "<i8").reshape(-1, 2)
+    seen: dict[bytes, int] = {}
+    stays, many, spans = [], [], []
+    for k, d in enumerate(map(bytes, digests)):
+        j = seen.setdefault(d, k)
+        if j == k:
+            stays.append(k)
+        elif cut[j] == cut[k]:
+            spans += [(int(first[i]), int(first[i] + starts[i]) - 1 + length) for i in (j, k)]
+            many.append(j)
+        else:  # two windows with one digest: both stay
+            stays.append(k)
+    many = np.isin(stays, many)
+    return *(x[stays] for x in (first, starts, shift, grams, digests)), many, merged(spans, False)
 
 
 def sort_suffixes(buffer, segment, start, length: int):
     """Merge-sort of suffixes within segments (numbers, ascending): the order, and whether each equals the one before it.
 
-    buffer: uint8 array with `length` bytes from each start. Runs are merged by ranking each suffix in its neighbour run.
+    buffer: symbols, `length` of them from each start. Runs are merged by ranking each suffix in its neighbour run.
     A comparison is O(log length): the longest common prefix comes from binary search over prefix hashes.
     """
     import numpy as np
 
-    prefix, inverse = prefix_hashes(buffer), powers(len(buffer) + 1, BASE, True)
+    prefix, inverse = prefix_hashes(buffer), powers(len(buffer) + 1, True)
     n = len(start)
 
     def value(at, width):
@@ -193,11 +238,11 @@ def sort_suffixes(buffer, segment, start, length: int):
         equal = (view[start[order[at]]] == view[start[order[at - 1]]]).all(1)
         same[at] = equal
         wrong += at[~equal].tolist()
-    for seg in {int(segment[order[k]]) for k in wrong}:  # two strings with one hash: this segment is sorted by its bytes
+    for seg in {int(segment[order[k]]) for k in wrong}:  # two strings with one hash: this segment is sorted by its symbols
         at = np.flatnonzero(segment == seg)
-        rows = sorted(at.tolist(), key=lambda i: (bytes(buffer[start[i] : start[i] + length]), i))
+        rows = sorted(at.tolist(), key=lambda i: (buffer[start[i] : start[i] + length].tolist(), i))
         order[at] = rows
-        same[at] = [False, *(bytes(buffer[start[a] : start[a] + length]) == bytes(buffer[start[b] : start[b] + length]) for a, b in zip(rows, rows[1:]))]
+        same[at] = [False, *((buffer[start[a] : start[a] + length] == buffer[start[b] : start[b] + length]).all() for a, b in zip(rows, rows[1:]))]
     return order, same
 
 
@@ -209,194 +254,267 @@ def runs_of(starts):
     return zip(starts[np.r_[0, cut + 1]].tolist(), starts[np.r_[cut, len(starts) - 1]].tolist())
 
 
-def _anchor_table(docs: DataFrame, length: int, gram: int, words: bool = False) -> DataFrame:
+#: A window: what it meets others by, its digest, its text, its place there, where its anchor is, and whether it is known to occur twice.
+ITEM = "key long, d0 long, d1 long, tid binary, at long, first long, starts long, shift long, many boolean"
+NAMES = [x.split()[0] for x in ITEM.split(", ")]
+SENT = "key long, tid binary, first long, starts long, shift long, many boolean, hot boolean, data binary"
+
+
+def _table(rows, names: str):
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    fields = [x.split() for x in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], [n for n, _ in fields])
+
+
+def _tid(text) -> F.Column:
+    return F.unhex(F.md5(F.encode(text, "UTF-8")))
+
+
+def _anchor_table(docs: DataFrame, length: int, gram: int, words: bool) -> DataFrame:
+    """The windows of each row's text; a row without a key has a span that is known to repeat, as first and starts."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         hold("powers", _powers.clear)
-        def table(tids, cols):
-            a = [np.concatenate(x) for x in zip(*cols)]
-            tid = pa.array(tids, pa.binary()).take(pa.array(np.repeat(np.arange(len(tids)), [len(c[0]) for c in cols])))
-            return pa.RecordBatch.from_arrays([tid, *(pa.array(x, pa.int64()) for x in a)], ["tid", "first", "starts", "gram", "block"])
+
+        def table(tids, sizes, cols):
+            tid = pa.array(tids, pa.binary()).take(pa.array(np.repeat(np.arange(len(tids)), sizes)))
+            key, bare, d0, d1, first, starts, shift, many = (np.concatenate(x) for x in zip(*cols))
+            return pa.RecordBatch.from_arrays([pa.array(key, mask=bare), pa.array(d0), pa.array(d1), tid, pa.array(np.zeros(len(key), np.int64)), pa.array(first), pa.array(starts), pa.array(shift), pa.array(many)], NAMES)
 
         for batch in batches:
-            tids, cols, held = [], [], 0
+            tids, sizes, cols, held = [], [], [], 0
             for i in range(batch.num_rows):
                 text = batch.column("text")[i].as_py()
                 if text is None or (not words and len(text) * 4 < length):
                     continue
                 data = text.encode()
-                got = anchors(hashed_words(data) if words else data, length, gram)
-                if len(got[0]):
-                    tids.append(hashlib.md5(data).digest())
-                    cols.append(got)
-                    held += len(got[0])
+                first, starts, shift, key, digests, many, spans = windows_of(symbols(data, words), length, gram)
+                if not len(first):
+                    continue
+                b, e = np.array(spans, np.int64).reshape(-1, 2).T
+                none, size = np.zeros(len(b), np.int64), len(first) + len(b)
+                tids.append(hashlib.md5(data).digest())
+                sizes.append(size)
+                cols.append((np.r_[key, none], np.arange(size) >= len(first), np.r_[digests[:, 0], none], np.r_[digests[:, 1], none], np.r_[first, b], np.r_[starts, e - b - length + 1], np.r_[shift, none], np.r_[many, none > 0]))
+                held += size
                 if held > 100_000:
-                    yield table(tids, cols)
-                    tids, cols, held = [], [], 0
+                    yield table(tids, sizes, cols)
+                    tids, sizes, cols, held = [], [], [], 0
             if tids:
-                yield table(tids, cols)
+                yield table(tids, sizes, cols)
+
+    return docs.select("text").mapInArrow(run, ITEM)
+
+
+def _ranges(hot: DataFrame, length: int, width: int, words: bool) -> DataFrame:
+    """The windows of large groups cut into ranges of `width` starts by their distance to the anchor."""
+
+    def run(batches):
+        import numpy as np
+
+        size = 8 if words else 1
+        for batch in batches:
+            rows = []
+            for key, tid, first, starts, shift, many, _, data in zip(*(c.to_pylist() for c in batch.columns)):
+                data = memoryview(data)
+                for j in range(max(0, shift - starts + 1) // width, shift // width + 1):
+                    s0, s1 = j * width, (j + 1) * width  # starts s0 to s1 - 1 before the anchor
+                    i0, i1 = max(0, shift - s1 + 1), min(shift - s0, starts - 1)
+                    common = data[(shift - s0) * size : (shift - s1 + 1 + length) * size]
+                    new = np.frombuffer(digest(common, f"{key} {j}".encode()), "<i8")[0]
+                    d = np.frombuffer(digest(data[i0 * size : (i1 + length) * size], f"{shift - i0}".encode()), "<i8")
+                    rows.append((int(new), int(d[0]), int(d[1]), tid, first, first + i0, i1 - i0 + 1, shift - i0, many))
+                if len(rows) > 20_000:
+                    yield _table(rows, ITEM)
+                    rows = []
+            if rows:
+                yield _table(rows, ITEM)
+
+    return hot.mapInArrow(run, ITEM)
 
-    return docs.select("text").mapInArrow(run, "tid binary, first long, starts long, gram long, block long")
 
+def _send(wanted: DataFrame, length: int, words: bool, texts: bool) -> DataFrame:
+    """wanted: a source's (tid, at, data, wanted) rows; gives the wanted windows with their symbols. texts: data is a text."""
 
-def _sorted_repeats(spark: SparkSession, sent: DataFrame, length: int) -> DataFrame:
-    """sent: (gram, tid, first, starts, shift, many, data). Returns spans (tid, begin, end) of the blocks that occur once."""
+    def run(batches):
+        hold("powers", _powers.clear)
+        size = 8 if words else 1
+        for batch in batches:
+            rows, held = [], 0
+            for i in range(batch.num_rows):
+                tid, at, data = (batch.column(c)[i].as_py() for c in ("tid", "at", "data"))
+                data = symbols(data.encode(), words).tobytes() if texts else data
+                for w in batch.column("wanted")[i].as_py():
+                    piece = data[(w["first"] - at) * size : (w["first"] - at + w["starts"] - 1 + length) * size]
+                    rows.append((w["key"], tid, w["first"], w["starts"], w["shift"], w["many"], w["hot"], piece))
+                    held += len(piece)
+                    if held > 8 << 20:
+                        yield _table(rows, SENT)
+                        rows, held = [], 0
+            if rows:
+                yield _table(rows, SENT)
+
+    return wanted.select("tid", "at", "data", "wanted").mapInArrow(run, SENT)
+
+
+def _sorted_repeats(spark: SparkSession, sent: DataFrame, length: int, words: bool) -> DataFrame:
+    """The spans (tid, begin, end) of the windows in `sent` that occur once, by the suffix sort of each key's windows."""
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
         import numpy as np
-        import pyarrow as pa
 
         hold("powers", _powers.clear)
+
         def solve(rows):
-            gram, tid, first, starts, shift, many, data = (list(x) for x in zip(*rows))
-            buffer = np.frombuffer(b"".join(data), np.uint8)
-            begin = np.cumsum([0, *(len(d) for d in data)])[:-1]
+            key, tid, first, starts, shift, many, data = (list(x) for x in zip(*rows))
+            buffer = np.frombuffer(b"".join(data), "<u8" if words else np.uint8)
+            begin = np.cumsum([0, *(len(d) // buffer.itemsize for d in data)])[:-1]
             count = np.array(starts)
-            block = np.repeat(np.arange(len(rows)), count)
-            inner = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
-            group = np.unique(np.array(gram), return_inverse=True)[1]
-            # within a k-gram, equal strings have their anchor at the same offset
-            segment = group[block] * (1 << 20) + (np.array(shift)[block] - inner)
+            window = np.repeat(np.arange(len(rows)), count)
+            inner = np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count)
+            group = np.unique(np.array(key), return_inverse=True)[1]
+            # within a key, equal strings have their anchor at the same offset
+            segment = group[window] * (1 << 20) + (np.array(shift)[window] - inner)
             by = np.argsort(segment, kind="stable")
-            segment, block, inner = segment[by], block[by], inner[by]
-            order, same = sort_suffixes(buffer, segment, begin[block] + inner, length)
+            segment, window, inner = segment[by], window[by], inner[by]
+            order, same = sort_suffixes(buffer, segment, begin[window] + inner, length)
             twice = np.zeros(len(order), bool)
             twice[order] = same | np.r_[same[1:], False]
-            twice &= ~np.array(many, bool)[block]
+            twice &= ~np.array(many, bool)[window]
             out = []
             hit = np.flatnonzero(twice)
-            hit = hit[np.lexsort((inner[hit], block[hit]))]
-            for part in np.split(hit, np.flatnonzero(np.diff(block[hit])) + 1) if len(hit) else []:
-                k = int(block[part[0]])
+            hit = hit[np.lexsort((inner[hit], window[hit]))]
+            for part in np.split(hit, np.flatnonzero(np.diff(window[hit])) + 1) if len(hit) else []:
+                k = int(window[part[0]])
                 out += [(tid[k], first[k] + a, first[k] + b + length) for a, b in runs_of(inner[part])]
             return out
 
-        def give(spans):
-            t, b, e = zip(*spans)
-            return pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(b, pa.int64()), pa.array(e, pa.int64())], ["tid", "begin", "end"])
-
         rows, held = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "tid", "first", "starts", "shift", "many", "data"))):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held > CHUNK and rows[-1][0] != row[0]:
                     if spans := solve(rows):
-                        yield give(spans)
+                        yield _table(spans, SPAN)
                     rows, held = [], 0
                 rows.append(row)
-                held += len(row[-1])
+                held += len(row[-1]) // (8 if words else 1)
         if rows and (spans := solve(rows)):
-            yield give(spans)
+            yield _table(spans, SPAN)
+
+    sent = sent.select("key", "tid", "first", "starts", "shift", "many", "data")
+    return sent.repartition(n, "key").sortWithinPartitions("key", "tid", "first").mapInArrow(run, SPAN)
+
 
-    return sent.repartition(n, "gram").sortWithinPartitions("gram", "tid", "first").mapInArrow(run, "tid binary, begin long, end long")
+SPAN = "tid binary, begin long, end long"
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int | None = None, words: bool = False) -> DataFrame:
-    """(tid, spans): for each distinct text, by the MD5 of its bytes, its (begin, end) byte spans that repeats cover; unmerged.
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: bool = False, group: int | None = None) -> DataFrame:
+    """(tid, spans): for each distinct text, by the MD5 of its bytes, its (begin, end) spans that repeats cover; unmerged.
 
-    words: the spans, and length and gram, are in bytes of the text's hashed words.
+    words: symbols are words instead of bytes; length, gram and the spans are in symbols. The result is a written table.
     """
     group = GROUP if group is None else group
-    spark = docs.sparkSession
+    spark, folders = docs.sparkSession, []
     ship(spark)
-    at, _ = keep(spark, _anchor_table(docs, length, gram, words), "anchors")
-    blocks = at.groupBy("gram", "block").agg(F.count("*").alias("n"), F.min(F.struct("tid", "first", "starts")).alias("one"))
-    blocks, _ = keep(spark, blocks, "blocks")
-    grams = blocks.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    open_, _ = keep(spark, blocks.join(grams, "gram").select("gram", "kinds", (F.col("n") > 1).alias("many"), "one.*"), "open")
-    wanted = open_.groupBy("tid").agg(F.collect_list(F.struct("first", "starts", "gram", "many", (F.col("kinds") > group).alias("hot"))).alias("wanted"))
-    tid = F.unhex(F.md5(F.encode("text", "UTF-8")))
-    texts = docs.select(tid.alias("tid"), "text").join(wanted, "tid").dropDuplicates(["tid"])
-
-    def send(batches):
-        import numpy as np
-        import pyarrow as pa
 
-        hold("powers", _powers.clear)
-        names = ["gram", "tid", "first", "starts", "shift", "many", "data", "h1", "h2"]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64()]
-        for batch in batches:
-            rows, held = [], 0
-            for i in range(batch.num_rows):
-                t, data = batch.column("tid")[i].as_py(), batch.column("text")[i].as_py().encode()
-                data = hashed_words(data) if words else data
-                for w in batch.column("wanted")[i].as_py():
-                    piece = data[w["first"] : w["first"] + w["starts"] - 1 + length]
-                    part = np.frombuffer(piece, np.uint8)
-                    prefix = prefix_hashes(part)
-                    if w["hot"]:
-                        pair = (mixed(window_hashes(prefix, length)), window_hashes(prefix_hashes(part, BASE2), length, BASE2))
-                        rows += [(w["gram"], t, w["first"] + k, 1, 0, w["many"], None, a, b) for k, (a, b) in enumerate(zip(*(x.view(np.int64).tolist() for x in pair)))]
-                        held += w["starts"] * 100
-                    else:
-                        same = np.flatnonzero(mixed(window_hashes(prefix, gram)).view(np.int64) == w["gram"])
-                        # the anchor is the leftmost of equals within every string of the block, so it lies at or after the last start
-                        shift = int(same[np.searchsorted(same, w["starts"] - 1)])
-                        rows.append((w["gram"], t, w["first"], w["starts"], shift, w["many"], piece, None, None))
-                        held += len(piece)
-                    if held > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                        rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        out, path = keep(spark, df, tag)
+        folders.append(path)
+        return out
 
-    kind = "gram long, tid binary, first long, starts long, shift long, many boolean, data binary, h1 long, h2 long"
-    sent, _ = keep(spark, texts.mapInArrow(send, kind), "sent")
-    fine = _sorted_repeats(spark, sent.where("data is not null").select("gram", "tid", "first", "starts", "shift", "many", "data"), length)
-    hot = sent.where("data is null")
-    twice = hot.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("many").alias("any")).where("n > 1 or any").select("h1", "h2")
-    hot = hot.where("not many").join(twice, ["h1", "h2"]).select("tid", F.col("first").alias("begin"), (F.col("first") + length).alias("end"))
-    full = at.join(blocks.where("n > 1").select("gram", "block"), ["gram", "block"]).select("tid", F.col("first").alias("begin"), (F.col("first") + F.col("starts") - 1 + length).alias("end"))
-    return full.unionAll(fine).unionAll(hot).groupBy("tid").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    span = lambda: [F.col("first").alias("begin"), (F.col("first") + F.col("starts") - 1 + length).alias("end")]
+    items = kept(_anchor_table(docs, length, gram, words), "anchors")
+    found = [items.where("key is null").select("tid", *span())]
+    items, source, width = items.where("key is not null"), None, length - gram + 1
+    while True:
+        one = F.min(F.struct("tid", "at", "first", "starts", "shift"))
+        classes = items.groupBy("key", "d0", "d1").agg(F.count("*").alias("n"), F.max("many").alias("many"), one.alias("one"))
+        classes = kept(classes, "windows")
+        twice = classes.where("n > 1").select("key", "d0", "d1")
+        found.append(items.where("not many").join(twice, ["key", "d0", "d1"]).select("tid", *span()))
+        kinds = classes.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        hot = (F.col("kinds") > group) if width > 1 else F.lit(False)
+        open_ = classes.join(kinds, "key").select("one.tid", "one.at", F.struct("key", "one.first", "one.starts", "one.shift", (F.col("many") | (F.col("n") > 1)).alias("many"), hot.alias("hot")).alias("w"))
+        wanted = open_.groupBy("tid", "at").agg(F.collect_list("w").alias("wanted"))
+        if source is None:
+            rows = docs.select(_tid("text").alias("tid"), F.col("text").alias("data")).join(wanted, "tid").dropDuplicates(["tid"])
+        else:
+            rows = source.select("tid", F.col("first").alias("at"), "data").join(wanted, ["tid", "at"])
+        sent = kept(_send(rows, length, words, source is None), "sent")
+        found.append(_sorted_repeats(spark, sent.where("not hot"), length, words))
+        source = sent.where("hot")
+        if source.isEmpty():
+            break
+        width = -(-width // PARTS)
+        items = kept(_ranges(source, length, width, words), "ranges")
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.unionAll(more)
+    out, _ = keep(spark, spans.groupBy("tid").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "spans")
+    for path in folders:
+        drop_folder(spark, path)
+    return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int | None = None, decode: bool = False, words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, decode: bool = False, words: int | None = None, passages: int | None = None, group: int | None = None) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (binary: the bytes that stay, in order).
 
     decode: instead of kept, text itself becomes the bytes that stay, without half characters at a cut (null: empty).
     words: strings are so many whole words instead, whatever blanks stand between them; length and gram are not used.
+    passages: also n_passages, the maximal runs of so many words or more that occur again, and rest, the text without them.
 
     Removed is each byte covered by a `length`-byte string that also starts anywhere else, in the same text included;
     overlaps count, and strings are judged on the input. Strings never cross documents. A null text counts as empty.
     Every row of a repeated text is judged, whatever its doc_id: copies of `length` bytes or more lose all bytes. Shorter
-    texts lose none. All columns of docs are kept; where one has the name of a new column, the new one replaces it.
+    texts lose none. All columns of docs are kept; where one has the name of a new column, the new one replaces it. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
-    new = {"n_bytes", "n_removed", "n_spans", "kept", "tid__", "spans__"}
+    new = {"n_bytes", "n_removed", "n_spans", "kept", "tid__", "spans__", "runs__"} | ({"n_passages", "rest"} if passages else set())
     names = [c for c in docs.columns if c.lower() not in new]
-    if words is not None:
-        length, gram = WORD * words, WORD * max(1, words * 4 // 25)
-    spans = repeated_spans(docs, length, gram, group, words is not None).select(F.col("tid").alias("tid__"), F.col("spans").alias("spans__"))
-    tid = F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    rows = docs.select(*names, tid.alias("tid__")).join(spans, "tid__", "left").drop("tid__")
+
+    def spans(many: int | None, column: str) -> DataFrame:
+        got = repeated_spans(docs, many, max(1, many * 4 // 25), True, group) if many else repeated_spans(docs, length, gram, False, group)
+        return got.select(F.col("tid").alias("tid__"), F.col("spans").alias(column))
+
+    rows = docs.select(*names, _tid(F.coalesce("text", F.lit(""))).alias("tid__")).join(spans(words, "spans__"), "tid__", "left")
+    if passages:
+        rows = rows.join(spans(passages, "runs__"), "tid__", "left")
+
+    def without(data: bytes, gone) -> bytes:
+        edges = [0, *(x for g in gone for x in g), len(data)]
+        return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
     def cut(batches):
         import pyarrow as pa
 
         hold("powers", _powers.clear)
         for batch in (part for whole in batches for part in slices(whole)):
-            size, removed, count, kept = [], [], [], []
+            size, removed, count, kept, runs, rest = [], [], [], [], [], []
             for i in range(batch.num_rows):
                 data = (batch.column("text")[i].as_py() or "").encode()
-                spans = [(s["begin"], s["end"]) for s in batch.column("spans__")[i].as_py() or ()]
-                gone = []
-                for b, e in sorted(spans if words is None else word_spans(data, spans)):
-                    if gone and b <= gone[-1][1]:
-                        gone[-1][1] = max(gone[-1][1], e)
-                    else:
-                        gone.append([b, e])
-                edges = [0, *(x for g in gone for x in g), len(data)]
+                at = lambda c: [(s["begin"], s["end"]) for s in batch.column(c)[i].as_py() or ()]  # noqa: B023, E731
+                gone = merged(at("spans__") if words is None else word_spans(data, merged(at("spans__"), False)))
                 size.append(len(data))
                 removed.append(sum(e - b for b, e in gone))
                 count.append(len(gone))
-                stays = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                kept.append(stays.decode("utf-8", "ignore") if decode else stays)
+                kept.append(without(data, gone).decode("utf-8", "ignore") if decode else without(data, gone))
+                if passages:
+                    gone = merged(word_spans(data, merged(at("runs__"), False)))
+                    runs.append(len(gone))
+                    rest.append(without(data, gone).decode())
             cols = {c: batch.column(c) for c in names} | {"n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(count, pa.int64())}
             cols |= {"text": pa.array(kept, pa.string())} if decode else {"kept": pa.array(kept, pa.binary())}
+            if passages:
+                cols |= {"n_passages": pa.array(runs, pa.int64()), "rest": pa.array(rest, pa.string())}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return rows.mapInArrow(cut, f"{kind}, n_bytes long, n_removed long, n_spans long" + ("" if decode else ", kept binary"))
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", n_bytes long, n_removed long, n_spans long"
+    return rows.drop("tid__").mapInArrow(cut, kind + ("" if decode else ", kept binary") + (", n_passages long, rest string" if passages else ""))

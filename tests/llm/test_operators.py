@@ -379,11 +379,38 @@ def test_suffix_sort_order():
     assert same.tolist() == [k > 0 and key[k] == key[k - 1] for k in range(len(key))]
 
 
+@pytest.mark.parametrize("group", [512, 3])
+def test_suffix_dedup_hot_passage(spark, group):
+    """A passage that many texts share, each with other text around it, and texts of one repeated character."""
+    r = random.Random(21)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = word(150)
+    rows = [(k, word(r.randrange(40, 90)) + passage[r.choice([0, 0, 7]) : r.choice([150, 150, 141])] + word(r.randrange(90))) for k in range(60)]
+    rows += [(900, "x" * 3000), (901, "x" * 39), (902, "y" * 70), (903, passage * 5), (904, passage[:60]), (905, None)]
+    assert repeats(docs_of(spark, rows), length=40, gram=8, group=group) == plain_repeats(rows, 40)
+
+
+def test_windows_within_one_text():
+    data = np.frombuffer(b"x" * 5000, np.uint8)
+    first, *_, many, spans = sufdedup.windows_of(data, 400, 64)
+    assert len(first) <= 2 and many.any() and spans == [[0, 5000]]
+
+
+def test_suffix_dedup_counts_passages(spark):
+    r = random.Random(22)
+    words = lambda n: " ".join(str(r.random()) for _ in range(n))
+    one, two = words(51), words(50)
+    rows = [(1, f"{words(9)} {one}\n{words(9)}"), (2, f"{one} {words(5)} {two}"), (3, f"{two}"), (4, None), (5, "")]
+    out = sufdedup.remove_repeats(docs_of(spark, rows).selectExpr("*", "1 as rest"), passages=51)
+    got = {x["doc_id"]: (x["n_passages"], x["rest"]) for x in out.collect()}
+    assert got == {i: (1, t.replace(one, "")) if i < 3 else (0, t or "") for i, t in rows}
+
+
 def test_anchors_across_segments(monkeypatch):
     r = random.Random(8)
     data = bytes(r.randrange(97, 101) for _ in range(3000))
     monkeypatch.setattr(sufdedup, "SEGMENT", 500)
-    first, starts, *_ = sufdedup.anchors(data, 100, 10)
+    first, starts, *_ = sufdedup.anchors(np.frombuffer(data, np.uint8), 100, 10)
     assert np.concatenate([np.arange(a, a + n) for a, n in zip(first, starts)]).tolist() == list(range(len(data) - 99))
 
 
