@@ -53,9 +53,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, blocks: int | None = None
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard), one row per row of docs, under the law `key`.
 
     doc_id and the shard count alone decide the shard; grown_shard is the one with a shard more. size: UTF-8 bytes and 8.
-    slot numbers a shard's rows from 0 without a gap: each shard is dealt over `blocks` groups by a hash of doc_id, a
+    slot numbers a shard's rows from 0 without a gap: each shard is dealt over `blocks` groups by a hash of the row and its split, a
     group numbers its own rows, and prefix sums over the groups' row counts (shards x blocks numbers, whatever the
-    input) give each group its first slot. So no task needs a whole shard. blocks: default the shuffle partitions.
+    input) give each group its first slot. So no task needs a whole shard, and rows that repeat very often are in as many groups as they are in splits. blocks: default the shuffle partitions.
 
     A null text has size 8 and checksum 0. A null doc_id takes the key 0. Repeated rows get slots of their own. An empty
     table gives no rows. Other columns are ignored.
@@ -67,7 +67,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, blocks: int | None = None
     )
     shard, grown = jump_hash(F.coalesce("doc_id", F.lit(0).cast("long")), shards)
     rows = rows.withColumn("both", F.struct(shard.alias("s"), grown.alias("g")))
-    rows = rows.select("*", F.col("both.s").alias("shard"), F.col("both.g").alias("grown_shard"), F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(blocks)).cast("int").alias("block")).drop("both")
+    rows = rows.select("*", F.col("both.s").alias("shard"), F.col("both.g").alias("grown_shard"), F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.spark_partition_id()), F.lit(blocks)).cast("int").alias("block")).drop("both")
     from pyspark.sql import Window as W
 
     count = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))
