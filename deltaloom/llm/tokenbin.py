@@ -55,7 +55,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.json", e
     """Write all documents in ascending doc_id order; returns one entry per file, in that order.
 
     Each task writes a data file and an index file under names of its own and then moves them into place, so a task that
-    runs again leaves the same files. Files follow doc_id ranges. A null doc_id comes first; equal doc_ids are ordered by text.
+    runs again leaves the same files. Files follow doc_id ranges. A null doc_id comes first; equal doc_ids are ordered by
+    their texts' MD5, and may be in several files.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -93,7 +94,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.json", e
         fs.move(f"{root}/.{name}.idx.{own}", f"{root}/{name}.idx")
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)]), pa.array([tokens])], ["file", "n_docs", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("by"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), "by", "row"]
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return sorted((r.asDict() for r in rows.mapInArrow(run, MANIFEST).collect()), key=lambda r: r["file"])
 
 
