@@ -51,6 +51,16 @@ def slices(batch, bytes_each: int = 4 << 20):
         yield batch.slice(first)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs dealt out to all cores where fewer tasks than cores would have rows (one row group is one task); else as they are.
+
+    docs: a table, as its partitions are counted first. No text is shuffled if the table has splits enough.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    busy = docs.select(F.spark_partition_id().alias("p")).distinct().count()
+    return docs.repartition(4 * cores) if busy < cores else docs
+
+
 def whole_keys(batches, rows: int = 20_000):
     """Tables of whole keys from batches that come sorted by column `key`: about so many rows each, or one larger key."""
     import numpy as np

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm import pieces
-from deltaloom.llm.common import keep, ship
+from deltaloom.llm.common import keep, ship, spread
 
 TOKENS = "doc_id long, part int, local long, n_tokens long, ids binary"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -33,7 +33,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(local), pa.array(n), pa.array(rows, pa.binary())], ["doc_id", "part", "local", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, TOKENS)
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, TOKENS)
 
 
 def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, window: int = 4096) -> DataFrame:

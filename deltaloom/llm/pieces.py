@@ -2,13 +2,14 @@
 
 A text is cut only at safe boundaries, where the library's own split can never join the two sides:
 
-* byte-level vocabulary: before a space or line feed that stands alone between non-blank characters. The library's
-  pattern takes one leading space into the next word and runs of blanks together, so a lone blank always starts a token.
+* before a space or line feed that follows something else than a blank. The library's patterns never join a blank to what
+  stands before it, and a run of blanks stays whole with the word after it.
+* a piece that is long without such a boundary: before `.,;:!?` and the like after a letter, where both patterns end a run
+  of letters. A run of letters itself (some scripts have no blanks) is one token to the library's split and stays whole.
 * vocabulary that drops blanks: at every space and line feed.
 
-Texts where a blank touches another blank keep the cuts before lone spaces only, or stay whole. Special strings hold no
-blanks, so no cut falls inside one. Trailing `.,;:!?` of a word may be cut off too: both patterns end a run of letters
-there. What is not cached goes to the library in batches balanced by bytes.
+Special strings hold no blanks and none of these marks, so no cut falls inside one. Trailing `.,;:!?` of a word may be cut off
+too. What is not cached goes to the library in batches balanced by bytes. The cache holds so many short pieces at most.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ from deltaloom.llm.common import hold, slices  # noqa: F401
 
 BATCH_BYTES = 1 << 20
 CACHE_ENTRIES = 800_000
+#: Characters of a piece that is cached at most, and of one that is not cut further.
+CACHED, LONG = 64, 256
 
-_TOUCHING = re.compile(r"\s[ \n]|[ \n](?:\s|\Z)").search
-_TOUCHING_SPACE = re.compile(r"\s (?=\s|\Z)").search
+_TOUCHING = re.compile(r"\s[ \n]").search
+_BEFORE_BLANKS = re.compile(r"(?<=\S)(?=[ \n])").split
+_BEFORE_MARKS = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?。，、！？；：…،؛؟।॥])").split
 _WORD_END = re.compile(r"([^\W\d_]+)([.,;:!?]+)").fullmatch
 _SPACED_WORD_END = re.compile(r"([ \n]?[^\W\d_]+)([.,;:!?]+)").fullmatch
 
@@ -42,19 +46,21 @@ def load(name: str):
     return t
 
 
+def cut_long(pieces: list[str]) -> list[str]:
+    return [x for p in pieces for x in (_BEFORE_MARKS(p) if len(p) > LONG else (p,))] if max(map(len, pieces)) > LONG else pieces
+
+
 def cut_byte_level(text: str) -> list[str]:
-    if not _TOUCHING(text):
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in text else [text]
-    if _TOUCHING_SPACE(text) or "\0" in text:
-        return [text]
-    return text.replace(" ", "\0 ").split("\0")
+    if _TOUCHING(text) or "\0" in text:
+        return cut_long(_BEFORE_BLANKS(text))
+    return cut_long(text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0"))
 
 
 def cut_blank_dropping(text: str) -> list[str]:
     # special strings are matched as they stand, before the vocabulary lower-cases
     if text.isascii() and "<|" not in text:
         text = text.lower()
-    return text.replace("\n", " ").split(" ")
+    return cut_long(text.replace("\n", " ").split(" "))
 
 
 class Encoder:
@@ -79,7 +85,7 @@ class Encoder:
         batch, size = [], 0
         for p in plain.difference(known):
             batch.append(p)
-            size += len(p)
+            size += len(p) if p.isascii() else 4 * len(p)
             if size >= BATCH_BYTES:
                 self._encode(batch)
                 batch, size = [], 0
@@ -104,7 +110,11 @@ class Encoder:
             if new := set().union(*cut).difference(self.known):
                 self._learn(new)
             at, fold = self.known.__getitem__, self.fold
-            return [fold(map(at, pieces)) for pieces in cut]
+            out = [fold(map(at, pieces)) for pieces in cut]
+            for p in new:
+                if len(p) > CACHED:
+                    self.known.pop(p, None)
+            return out
         finally:
             if collects:
                 gc.enable()

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import hold, ship
+from deltaloom.llm.common import hold, ship, spread
 
 #: Labelled documents that the chain is fitted on at most: those with the smallest hashes of their doc_id.
 MAX_LABELLED = 5000
@@ -157,7 +157,10 @@ def fit(samples: list[tuple[int, str, tuple]], categories=CATEGORIES) -> Chain:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_labelled: int = MAX_LABELLED) -> Chain:
-    """Fit on at most max_labelled labelled rows of docs; rows with a null doc_id or a null label are no examples."""
+    """Fit on at most max_labelled labelled rows of docs; rows with a null doc_id or a null label are no examples.
+
+    A doc_id with several texts is one example, the least of them; one with several labels has the largest of each.
+    """
     spark = docs.sparkSession
     ship(spark)
     known = labels.where(F.col("doc_id").isNotNull()).dropna(subset=list(categories)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*(F.max(F.col(c).cast("int")).alias(f"_y{k}") for k, c in enumerate(categories)))
@@ -173,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_labelle
 
     y = F.array(*(F.col(f"_y{k}") for k in range(len(categories))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", y.alias("y"))
-    rows = rows.dropDuplicates(["doc_id"]).mapInArrow(distinct_words, "doc_id long, text string, y array<int>")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).mapInArrow(distinct_words, "doc_id long, text string, y array<int>")
     return fit([(r["doc_id"], r["text"], tuple(r["y"])) for r in rows.collect()], categories)
 
 
@@ -202,4 +205,4 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.4) -> DataFrame:
 
     kept = [c for c in docs.columns if c.lower() not in {*new, "rejected"}]
     kind = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
-    return docs.select(*kept).mapInArrow(run, ", ".join([*kind, *(f"{c} double" for c in new), "rejected boolean"]))
+    return spread(docs.select(*kept)).mapInArrow(run, ", ".join([*kind, *(f"{c} double" for c in new), "rejected boolean"]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -74,17 +75,44 @@ def test_token_counts(spark, odd):
 
 def test_pieces_equal_the_library(spark):
     r = random.Random(1)
-    marks = ["a", "B", " ", " ", "\n", "'s", "'", ".", "!", "9", "é", "\u00a0", "\t", "<|endoftext|>", "\u0301", "ß", "\0", "日"]
+    marks = ["a", "B", " ", " ", "\n", "\u2003", "\x1c", "。", "日本", "<|ENDOFTEXT|>", "'s", "'", ".", "!", "9", "é", "\u00a0", "\t", "<|endoftext|>", "\u0301", "ß", "\0", "日"]
     rows = ["".join(r.choice(marks) for _ in range(r.randrange(40))) for _ in range(3000)]
+    rows += ["".join(r.choice(marks) for _ in range(600)).replace(" ", "") for _ in range(20)] + ["日本語。" * 300, "ab.Cd," * 300, "x  y   \n\n z " * 200]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         enc, kind = pieces.ids(name), pieces.id_kind(name)
         for text, got in zip(rows, enc.values(rows)):
             assert np.frombuffer(got, kind).tolist() == library_ids(name, text), (name, text)
+        assert max(map(len, enc.known)) <= pieces.CACHED
+
+
+def test_long_texts_are_cut():
+    for text in ("a   b " * 5000, "日本語、" * 5000, "nul\0 in " * 5000, "line  \n\n" * 5000):
+        assert len(pieces.cut_byte_level(text)) >= 4000 and "".join(pieces.cut_byte_level(text)) == text
 
 
 # 2
 
 
+def test_scores_against_the_definition(spark):
+    """Every document's probabilities, from the weights and the features by their definition; ties and repeats included."""
+    docs = docs_of(spark, [*texts(spark), *odd_rows(), *odd_rows()])
+    chain = toxicity.train(table(spark, "documents"), table(spark, "labels"))
+    name = {k: f for f, k in chain.words.items()}
+
+    def plain(text):
+        words = set(re.findall(r"\w+", (text or "").lower()))
+        found = {f for f in name.values() if (f in words if "^" not in f else sum(w.startswith(f[: f.index("^")]) and len(w) > f.index("^") for w in words) >= int(f[f.index("^") + 1 :]))}
+        p = []
+        for k in range(2):
+            z = chain.bias[k] + sum(chain.weights[k][chain.words[f]] for f in found) + sum(c * x for c, x in zip(chain.carry[k], p))
+            p.append(1 / (1 + np.exp(-min(30, max(-30, z)))))
+        return [*p, bool(words) and p[1] >= 0.4]
+
+    for r in toxicity.score(docs, chain).select("text", "p_quality", "p_toxic", "rejected").collect():
+        want = plain(r[0])
+        assert abs(r[1] - want[0]) < 1e-9 and abs(r[2] - want[1]) < 1e-9 and r[3] == want[2]
+
+
 def test_toxicity_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -179,6 +207,21 @@ def test_components_of_a_long_chain(spark):
     assert components(spark, spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
 
 
+@pytest.mark.parametrize("rows", [1 << 10, 1 << 24, 1 << 40])
+def test_simhash_tops_lose_no_pair(spark, rows):
+    r = random.Random(31)
+    tries = simhash.tops(rows, 3)
+    values = [r.getrandbits(64) for _ in range(40)]
+    for v in list(values):
+        for n in (1, 2, 3, 3, 4):
+            values.append(v ^ sum(1 << b for b in r.sample(range(64), n)))
+    values = sorted(set(values))
+    classes = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, i) for i, v in enumerate(values)], "fp long, rep long")
+    links = [(a, b) for a in range(len(values)) for b in range(a) if bin(values[a] ^ values[b]).count("1") <= 3]
+    got = [tuple(x) for x in simhash.near_links(spark, classes, blocks=tries).collect()]
+    assert smallest(range(len(values)), got) == smallest(range(len(values)), links)
+
+
 # 4
 
 
@@ -232,7 +275,7 @@ def test_token_records(spark, odd):
     rows = odd_rows() if odd else texts(spark)
     docs = docs_of(spark, rows) if odd else table(spark, "documents")
     want, at = [], 0
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest())):
         ids = [*library_ids("byte_bpe_50k.json", t), 2]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
