@@ -515,17 +515,41 @@ def test_near_vectors(spark):
     assert vecdedup.near_vectors(docs.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("block", [4096, 8])
-def test_near_vectors_recall(spark, monkeypatch, block):
-    monkeypatch.setattr(vecdedup, "BLOCK", block)
-    rows = [(r[0], np.array(r[1], float), r[2]) for r in table(spark, "embeddings").collect()]
-    x = np.stack([r[1] / np.linalg.norm(r[1]) for r in rows])
+def planted_vectors(n):
+    """n vectors and for each one more at a cosine just over the threshold, or under it."""
+    r = np.random.default_rng(17)
+    x = r.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = r.standard_normal((n, 64))
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    cosine = np.where(np.arange(n) % 2, 0.9801, 0.978)[:, None]
+    return [(k, [float(v) for v in u], k % n % 3) for k, u in enumerate(np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * z]))]
+
+
+def exact_links(rows):
+    x = np.stack([np.array(r[1]) / np.linalg.norm(r[1]) for r in rows])
     label = np.array([r[2] for r in rows])
     near = (x @ x.T >= 0.98) & (label[:, None] == label)
-    want = {r[0]: int(n) - 1 for r, n in zip(rows, near.sum(1))}
-    got = {r["vec_id"]: r["n_links"] for r in vecdedup.near_vectors(table(spark, "embeddings")).collect()}
+    return {r[0]: int(n) - 1 for r, n in zip(rows, near.sum(1))}
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+@pytest.mark.parametrize("exact", [False, True])
+def test_near_vectors_recall(spark, monkeypatch, block, exact):
+    monkeypatch.setattr(vecdedup, "BLOCK", block if not exact else 300)
+    rows = planted_vectors(3000)
+    want = exact_links(rows)
+    assert sum(want.values()) == 3000
+    got = {r["vec_id"]: r["n_links"] for r in vecdedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), exact=exact).collect()}
     assert all(got[k] <= want[k] for k in want)
-    assert sum(got.values()) >= 0.9 * sum(want.values())
+    assert sum(got.values()) >= (1 if exact else 0.995) * sum(want.values())
+
+
+def test_near_vectors_of_the_table(spark):
+    rows = [tuple(r) for r in table(spark, "embeddings").select("vec_id", "embedding", "label").collect()]
+    got = {r["vec_id"]: r["n_links"] for r in vecdedup.near_vectors(table(spark, "embeddings")).collect()}
+    assert got == exact_links(rows)
 
 
 def test_estimates_are_unbiased_and_bounded():
