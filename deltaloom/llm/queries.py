@@ -56,6 +56,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_simhash, op4_url_filters, op5_token_records, op6_decontamination, op7_suffix_dedup, op8_jump_shards, op9_embedding_dedup, op10_packing)}
 
+def _patterns() -> str:
+    """The method's patterns as SQL, the longest name first, then by name."""
+    tests = {
+        **{w: f"regexp_matches(host, '(^|[.-]){w}([.-]|$)')" for w in urlrules.HOST_PARTS},
+        **{f"/{w}": f"contains(replace(path, '.', '/') || '/', '/{w}/') and regexp_matches(path, '/{w}([/.]|$)')" for w in urlrules.PATH_STEPS},
+        **{f".{w}": f"ends_with(path, '.{w}')" for w in urlrules.PATH_ENDS},
+    }
+    return " ".join(f"when {tests[n]} then '{n}'" for n in sorted(tests, key=lambda n: (-len(n), n)))
+
+
 ORACLE_SQL = {
     "op4_url_filters": r"""
 with parts as (
@@ -72,13 +82,7 @@ with parts as (
       when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
       when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/'
     end as rule,
-    case
-      when regexp_matches(host, '(^|[.-])casino([.-]|$)') then 'casino'
-      when regexp_matches(host, '(^|[.-])adult([.-]|$)') then 'adult'
-      when regexp_matches(host, '(^|[.-])pills([.-]|$)') then 'pills'
-      when regexp_matches(host, '(^|[.-])bets([.-]|$)') then 'bets'
-      when regexp_matches(host, '(^|[.-])spam([.-]|$)') then 'spam'
-      when regexp_matches(host, '(^|[.-])ads([.-]|$)') then 'ads'
+    case {PATTERNS}
     end as word
   from parts
 )
@@ -86,5 +90,5 @@ select page_id, host, path, rule,
   case when rule in ('example.com/en/', 'net/es/', 'net/fr/') or (rule is null and word is not null) then 'block' else 'allow' end as verdict,
   case when rule is null then word end as pattern
 from fits
-""",
+""".replace("{PATTERNS}", _patterns()),
 }

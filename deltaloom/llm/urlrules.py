@@ -45,17 +45,32 @@ RULES = (
 )
 
 
-#: Site kinds that are blocked where no rule decides: a label of the host has the word as a part between dots and hyphens.
-BLOCKED_WORDS = ("ads", "adult", "bets", "casino", "pills", "spam")
+# Fixed values of the method's own patterns: what a host has as a part between dots and hyphens, what a path has as a whole
+# step (an ending may follow), and how a path ends. They block where no rule decides.
+HOST_PARTS = ("ads", "adult", "bets", "bonus", "casino", "malware", "phishing", "pills", "poker", "porn", "spam", "torrents", "tracker", "viagra", "warez", "xxx")
+PATH_STEPS = ("adserver", "banner", "cart", "cgi-bin", "checkout", "login", "logout", "register", "signin", "signup", "unsubscribe", "wp-admin", "wp-login", "xmlrpc")
+PATH_ENDS = ("apk", "dmg", "exe", "iso", "msi", "torrent")
 LOWEST = -(1 << 30)
 
 
-def word_pattern(word: str, verdict: str = "block") -> Rule:
-    """A pattern rule on the host alone; it ranks below every host/path rule."""
-    return Rule(word, verdict, rf"(?s)\A(?:[^/]*[.\-])?{re.escape(word)}(?:[.\-][^/]*)?(?:/|\Z)", (word,), LOWEST + len(word), False)
+def pattern(name: str, expression: str, verdict: str = "block") -> Rule:
+    """A pattern rule on host and path; it ranks below every host/path rule, the longest name first."""
+    return Rule(name, verdict, expression, tuple(re.findall(r"\w+", name)), LOWEST + len(name), False)
 
 
-PATTERNS = tuple(word_pattern(w) for w in BLOCKED_WORDS)
+def host_part(word: str) -> Rule:
+    return pattern(word, rf"(?s)\A(?:[^/]*[.\-])?{re.escape(word)}(?:[.\-][^/]*)?(?:/|\Z)")
+
+
+def path_step(word: str) -> Rule:
+    return pattern(f"/{word}", rf"(?s)\A[^/]*/(?:.*/)?{re.escape(word)}(?:[/.]|\Z)")
+
+
+def path_end(word: str) -> Rule:
+    return pattern(f".{word}", rf"(?s)\A[^/]*/.*\.{re.escape(word)}\Z")
+
+
+PATTERNS = (*map(host_part, HOST_PARTS), *map(path_step, PATH_STEPS), *map(path_end, PATH_ENDS))
 
 
 def index_rules(rules) -> dict[str, list[Rule]]:
