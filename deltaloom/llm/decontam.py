@@ -1,4 +1,9 @@
-"""Benchmark decontamination by greedy string tiling."""
+"""Benchmark decontamination by greedy string tiling.
+
+Documents and benchmark items meet by a join over the hashes of shared word seeds, so neither passes through the driver. Spark
+broadcasts the benchmark's seeds where their table is small enough, so the documents' seeds are not shuffled then, and
+shuffles both sides otherwise. Only texts that share enough seeds with an item are tiled with it.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +12,14 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import hold, ship
+from deltaloom.llm.common import hold, keep, ship
 
 #: Words of a seed, which is also the shortest tile.
 SEED_WORDS = 5
 #: Part of an item's words that tiles must cover.
 COVERAGE = 0.8
-#: Items that one pass over the documents holds; a larger benchmark is taken in blocks of this size.
-ITEMS_AT_ONCE = 20_000
+#: Items that a text is tiled with at once.
+ITEMS_AT_ONCE = 1000
 
 WORDS = re.compile(r"\w+").findall
 BASE = 0x9E3779B97F4A7C15
@@ -103,55 +108,78 @@ def near_seeds(positions, n: int, reach: int):
     return out
 
 
-class Benchmark:
-    """The items of one block, their words as numbers, and the seeds' hashes with their items."""
+def seed_hashes(words: list[str], width: int):
+    """Karp-Rabin hashes of the windows of `width` words; windows of another width have other hashes."""
+    import numpy as np
+    import xxhash
+
+    ids = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), width) for w in words], np.uint64)
+    return window_hashes(ids, width)
+
+
+def coverage(own: list[str], text: list[str]) -> float:
+    """The part of the item's words that tiles with the text cover; only what lies near a shared seed is tiled."""
+    import numpy as np
 
-    def __init__(self, items: list[tuple[int, str]]):
+    number = {}
+    item = [number.setdefault(w, len(number)) for w in own]
+    ids = np.fromiter((number.get(w, -1) for w in text), np.int64, len(text))
+    least = min(SEED_WORDS, len(own))
+    at = np.flatnonzero(np.isin(window_hashes(ids, least), window_hashes(item, least)) & (np.convolve(ids >= 0, np.ones(least, int), "valid") == least)) if len(ids) >= least else []
+    parts = [-2]
+    for n, (a, b) in enumerate(near_seeds(list(at), len(ids), 2 * least)):
+        parts += [*ids[a:b].tolist(), -3 - n]  # parts are kept apart by numbers that no item has
+    return sum(n for _, _, n in tiles(item, parts, least)) / len(own)
+
+
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """(item, h, need, width): the distinct seeds of each item, and how many of them a text shares at least that covers enough of it."""
+
+    def run(batches):
         import numpy as np
+        import pyarrow as pa
+
+        hold("decontam")
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                if own := words_of(text):
+                    width = min(SEED_WORDS, len(own))
+                    h, times = np.unique(seed_hashes(own, width).view(np.int64), return_counts=True)
+                    # a tile of n words holds n - width + 1 seeds, so covered words are at most width times the seed places
+                    places, need, k = COVERAGE * len(own) / width, 0, np.sort(times)[::-1]
+                    while need < len(k) and k[:need].sum() < places - 1e-9:
+                        need += 1
+                    out[0] += [item] * len(h)
+                    out[1] += h.tolist()
+                    out[2] += [need] * len(h)
+                    out[3] += [width] * len(h)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["item", "h", "need", "width"])
+
+    return items.select("item", "text").mapInArrow(run, "item long, h long, need long, width long")
+
+
+def _text_seeds(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """(tid, h): the distinct seeds of each text of each width that items have, exploded."""
+
+    def run(batches):
+        import hashlib
 
-        self.number: dict[str, int] = {}
-        self.items = []
-        for item, text in items:
-            words = [self.number.setdefault(w, len(self.number)) for w in words_of(text)]
-            if words:
-                self.items.append((item, words))
-        seeds: dict[int, dict[int, list[int]]] = {}
-        for k, (_, words) in enumerate(self.items):
-            width = min(SEED_WORDS, len(words))
-            for h in window_hashes(words, width).tolist():
-                at = seeds.setdefault(width, {}).setdefault(h, [])
-                if not at or at[-1] != k:
-                    at.append(k)
-        self.seeds = {w: (np.array(sorted(s), np.uint64), s) for w, s in seeds.items()}
-
-    def hits(self, text: str | None) -> list[tuple[int, float]]:
-        """(item_id, coverage) of the items that tiles cover far enough."""
         import numpy as np
+        import pyarrow as pa
 
-        if not self.items:
-            return []
-        ids = np.fromiter(map(self.number.get, words := words_of(text), [-1] * len(words)), np.int64, len(words))
-        near: dict[int, list[int]] = {}
-        for width, (hashes, items) in self.seeds.items():
-            h = window_hashes(ids, width)
-            h = np.where(np.convolve(ids >= 0, np.ones(width, int), "valid") == width, h, 0) if len(h) else h
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            for p in np.flatnonzero(hashes[at] == h).tolist():
-                for k in items[int(h[p])]:
-                    near.setdefault(k, []).append(p)
-        out = []
-        for k, positions in near.items():
-            item, own = self.items[k]
-            least = min(SEED_WORDS, len(own))
-            covered = 0
-            if (len(set(positions)) + (least - 1) * len(own)) >= COVERAGE * len(own):
-                parts = [-2]
-                for n, (a, b) in enumerate(near_seeds(sorted(set(positions)), len(ids), 2 * least)):
-                    parts += [*ids[a:b].tolist(), -3 - n]  # parts are kept apart by numbers that no item has
-                covered = sum(n for _, _, n in tiles(own, parts, least))
-            if covered >= COVERAGE * len(own):
-                out.append((item, covered / len(own)))
-        return sorted(out)
+        hold("decontam")
+        for batch in batches:
+            tids, seeds = [], []
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                tids.append(hashlib.md5((text or "").encode()).digest())
+                seeds.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *(seed_hashes(words, w) for w in widths)])).view(np.int64))
+            if tids:
+                cuts = pa.array(np.cumsum([0, *map(len, seeds)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(tids, pa.binary()), pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(seeds)))], ["tid", "hs"])
+
+    return docs.select("text").mapInArrow(run, "tid binary, hs array<long>").select("tid", F.explode("hs").alias("h"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -160,35 +188,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are lower-cased runs of word characters, so layout and punctuation don't matter. A document and an item meet
     over seeds of SEED_WORDS shared words; greedy string tiling then marks the longest matches first, in any order, and the
     item counts as contained if tiles cover COVERAGE of its words. An item with fewer words than a seed is a seed whole.
-    Null or empty texts and items match nothing; items with a null item_id match but carry no id. The items are a
-    query set that goes against all documents in blocks of ITEMS_AT_ONCE. All columns of docs are kept; where one has the
-    name of a new column, the new one replaces it. Repeated rows each get their result.
+    Null or empty texts and items match nothing; items with a null item_id match but carry no id. All columns of docs are
+    kept; where one has the name of a new column, the new one replaces it. Repeated rows each get their result; an equal
+    text is tiled once. An empty table gives no rows, an empty benchmark no matches.
     """
-    ship(docs.sparkSession)
-    new = {"item_ids", "coverage", "contaminated"}
-    kept = [c for c in docs.columns if c.lower() not in new]
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", item_ids array<long>, coverage double, contaminated boolean"
-    out = docs.select(*kept, F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("coverage"), F.lit(False).alias("contaminated"))
-    block: list[tuple[int, str]] = []
-    for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator(True):
-        block.append((r["item_id"], r["text"]))
-        if len(block) == ITEMS_AT_ONCE:
-            out, block = out.mapInArrow(_against(block, kept), kind), []
-    return out.mapInArrow(_against(block, kept), kind) if block else out
-
-
-def _against(block, kept):
+    spark = docs.sparkSession
+    ship(spark)
+    kept = [c for c in docs.columns if c.lower() not in {"item_ids", "coverage", "contaminated", "tid__"}]
+    tid = F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    items, _ = keep(spark, benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null"), "items")
+    seeds, _ = keep(spark, _item_seeds(items), "seeds")
+    widths = sorted(r["width"] for r in seeds.select("width").distinct().collect())  # SEED_WORDS numbers at most
+    pairs = _text_seeds(docs, widths).join(seeds, "h").groupBy("tid", "item").agg(F.count_distinct("h").alias("n"), F.max("need").alias("need")).where("n >= need")
+    pairs, _ = keep(spark, pairs.select("tid", "item"), "pairs")
+    some = pairs.join(items, "item").groupBy("tid", F.floor(F.col("item") % 1_000_003 / ITEMS_AT_ONCE).alias("block")).agg(F.collect_list(F.struct("item_id", F.col("text").alias("own"))).alias("items"))
+    texts = docs.where("text is not null").select(tid.alias("tid"), "text").join(pairs.select("tid").distinct(), "tid").dropDuplicates(["tid"])
+
     def run(batches):
         import pyarrow as pa
 
         hold("decontam")
-        bench = Benchmark(block)
         for batch in batches:
-            ids, cover, flag = (batch.column(c).to_pylist() for c in ("item_ids", "coverage", "contaminated"))
+            tids, ids, covers = [], [], []
             for i in range(batch.num_rows):
-                if hits := bench.hits(batch.column("text")[i].as_py()):
-                    ids[i] = sorted({*ids[i], *(k for k, _ in hits if k is not None)})
-                    cover[i], flag[i] = max(cover[i], *(c for _, c in hits)), True
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(ids, pa.list_(pa.int64())), pa.array(cover, pa.float64()), pa.array(flag, pa.bool_())], [*kept, "item_ids", "coverage", "contaminated"])
-
-    return run
+                text = words_of(batch.column("text")[i].as_py())
+                for x in batch.column("items")[i].as_py():
+                    own = words_of(x["own"])
+                    part = coverage(own, text)
+                    if part * len(own) >= COVERAGE * len(own) - 1e-9:
+                        tids.append(batch.column("tid")[i].as_py())
+                        ids.append(x["item_id"])
+                        covers.append(part)
+            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.binary()), pa.array(ids, pa.int64()), pa.array(covers, pa.float64())], ["tid__", "item_id", "part"])
+
+    hits = texts.join(some, "tid").select("tid", "text", "items").mapInArrow(run, "tid__ binary, item_id long, part double")
+    hits, _ = keep(spark, hits.groupBy("tid__").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("part").alias("coverage")), "hits")
+    out = docs.select(*kept, tid.alias("tid__")).join(hits, "tid__", "left")
+    return out.select(*kept, F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.col("coverage").isNotNull().alias("contaminated"))
