@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import dealt, hold, keep, ship, whole_keys
+from deltaloom.llm.common import dealt, drop_folder, hold, keep, ship, whole_keys
 from deltaloom.llm.components import components
 from deltaloom.llm.simhash import BITS, trie_links, trie_pairs
 
@@ -79,7 +79,9 @@ def plan(rows: int, least: tuple[int, int] = LEAST) -> tuple[int, int, int]:
     return top, tries, budget
 
 
-def _fingerprints(texts: DataFrame, words: int) -> DataFrame:
+def _fingerprints(rows: DataFrame, words: int) -> DataFrame:
+    """rows (tid, row, text) with f0 and f1 in place of text."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -89,9 +91,9 @@ def _fingerprints(texts: DataFrame, words: int) -> DataFrame:
             bits = [wide_bits(shingles(batch.column("text")[i].as_py(), words)) for i in range(batch.num_rows)]
             if bits:
                 fp = np.packbits(np.stack(bits), axis=1, bitorder="little").view("<i8")
-                yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(fp[:, k].copy()) for k in range(len(FP)))], ["node", *FP])
+                yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("row"), *(pa.array(fp[:, k].copy()) for k in range(len(FP)))], ["tid", "row", *FP])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, f0 long, f1 long")
+    return rows.select("tid", "row", "text").mapInArrow(run, f"tid binary, row {dict(rows.dtypes)['row']}, f0 long, f1 long")
 
 
 def _under_tops(fps: DataFrame, top: int, tries: int) -> DataFrame:
@@ -110,7 +112,7 @@ def _under_tops(fps: DataFrame, top: int, tries: int) -> DataFrame:
             rows = np.repeat(np.arange(batch.num_rows), tries)
             yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), *(batch.column(c).take(pa.array(rows)) for c in ("node", *FP))], ["bucket", "node", *FP])
 
-    return fps.mapInArrow(run, "bucket long, node long, f0 long, f1 long")
+    return fps.select("node", *FP).mapInArrow(run, "bucket long, node long, f0 long, f1 long")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -148,17 +150,25 @@ def _sorted_tables(batches):
         yield cols, group, [w[order] for w in words]
 
 
-def near_links(spark: SparkSession, texts: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Links (a, b) of near copies that connect every pair of near copies that meet in a trie. texts: (node, text), kept.
+def near_links(spark: SparkSession, nodes: DataFrame, texts: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Links (a, b) of near copies that connect every pair of near copies that meet in a trie.
+
+    nodes: (node, tid, f0, f1), a kept table of different texts. texts: (tid, text), where a text may repeat.
 
     The walk of a top node's trie gives components of fingerprints within the budget. First each of their members is
     compared with the smallest one; copies of one text end in one group by that. Where members are still apart, the
     component is walked again, and all its pairs within the budget from different groups are compared. Every comparison is
-    that of the whole sets of shingles.
+    that of the whole sets of shingles. The links are a written table.
     """
     ship(spark)
-    fps, _ = keep(spark, _fingerprints(texts, words), "fingerprints")
-    top, tries, budget = plan(fps.count(), least)
+    folders = []
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        out, path = keep(spark, df, tag)
+        folders.append(path)
+        return out
+
+    top, tries, budget = plan(nodes.count(), least)
 
     def first(batches):
         import numpy as np
@@ -172,51 +182,58 @@ def near_links(spark: SparkSession, texts: DataFrame, words: int = WORDS, least:
             at = np.flatnonzero(b != cols["node"])
             yield pa.RecordBatch.from_arrays([pa.array(cols["key"][at]), pa.array(cols["node"][at]), pa.array(b[at])], ["key", "a", "b"])
 
-    met = dealt(spark, _under_tops(fps, top, tries), ["bucket"], "node", BLOCK).select("key", "bucket", "node", *FP)
-    stars, _ = keep(spark, met.mapInArrow(first, "key long, a long, b long"), "stars")
-    pairs, _ = keep(spark, stars.select("a", "b").distinct(), "pairs")
+    met = dealt(spark, _under_tops(nodes, top, tries), ["bucket"], "node", BLOCK).select("key", "bucket", "node", *FP)
+    stars = kept(met.mapInArrow(first, "key long, a long, b long"), "stars")
+    pairs = kept(stars.select("a", "b").distinct(), "pairs")
     inside = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    sets, _ = keep(spark, _sets(texts.join(inside, "node", "left_semi"), words), "sets")
+    inside = kept(nodes.join(inside, "node").select("node", "tid"), "inside")
+    sets = kept(_sets(texts.join(inside, "tid"), words).dropDuplicates(["node"]), "sets")
     links, _ = keep(spark, _similar(pairs, sets, least), "starlinks")
     comp = components(spark, links, "a", "b")
 
     # the same component may come from several tries: it is known by its smallest node and its members
     members = stars.select("key", "b", F.col("a").alias("node")).unionAll(stars.select("key", "b", F.col("b").alias("node")).distinct())
-    members = members.join(comp, "node", "left").select("key", "b", "node", F.coalesce("component", "node").alias("comp"))
-    members, _ = keep(spark, members, "members")
+    members = kept(members.join(comp, "node", "left").select("key", "b", "node", F.coalesce("component", "node").alias("comp")), "members")
     apart = members.groupBy("key", "b").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), F.count("*").alias("n")).where("x <> y")
     apart = apart.groupBy("b", "same", "n").agg(F.min("key").alias("key")).select("key", "b")
-    again = members.join(apart, ["key", "b"]).withColumn("bucket", F.xxhash64("key", "b")).select("bucket", "node", "comp").join(fps, "node")
+    again = kept(members.join(apart, ["key", "b"]).withColumn("bucket", F.xxhash64("key", "b")).select("bucket", "node", "comp").join(nodes.select("node", *FP), "node"), "again")
 
     def second(batches):
         import numpy as np
         import pyarrow as pa
 
         for cols, group, fp in _sorted_tables(batches):
-            p, q = trie_pairs(group, fp[0], BITS, min(budget, BITS), fp, budget, np.unique(cols["comp"], return_inverse=True)[1])
-            x, y = cols["node"][p], cols["node"][q]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            for p, q in trie_pairs(group, fp[0], BITS, min(budget, BITS), fp, budget, np.unique(cols["comp"], return_inverse=True)[1]):
+                x, y = cols["node"][p], cols["node"][q]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     more = dealt(spark, again, ["bucket"], "node", BLOCK).select("key", "bucket", "node", "comp", *FP).mapInArrow(second, "a long, b long").distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more, _ = keep(spark, _similar(more.join(done, ["a", "b"], "left_anti"), sets, least), "morelinks")
-    return links.unionAll(more)
+    more = kept(more.join(done, ["a", "b"], "left_anti"), "more")
+    out, _ = keep(spark, links.unionAll(_similar(more, sets, least)), "nearlinks")
+    for path in folders:
+        drop_folder(spark, path)
+    return out
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
     """Of each group of near copies, the row with the smallest doc_id; a group is what links connect.
 
     A row's text is what is judged, so a doc_id may repeat. Equal texts are one node. Rows without a doc_id come last; of
-    rows with one doc_id the least by the other columns stays. Texts without words are copies of each other. An empty table
-    gives no rows.
+    rows with one doc_id the least by the other columns stays, then by the MD5 of text and row; of equal rows one stays.
+    Texts without words are copies of each other. An empty table gives no rows. Texts are shuffled once, with the rows
+    that stay; what is judged before holds fingerprints, and sets of shingles where a comparison needs them.
     """
     spark = docs.sparkSession
+    ship(spark)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    row = F.struct(F.col("doc_id").isNull().alias("without__"), "doc_id", *rest, "text")
     tid = F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    one = docs.groupBy(tid.alias("tid")).agg(F.min(row).alias("row")).select(F.monotonically_increasing_id().alias("node"), "row")
-    one, _ = keep(spark, one, "texts")
-    links = near_links(spark, one.select("node", "row.text"), words, least)
-    comp = components(spark, links, "a", "b")
-    out = one.join(comp, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("row").alias("row"))
-    return out.select("row.*").select(docs.columns)
+    whole = F.unhex(F.md5(F.to_json(F.struct("doc_id", *rest, F.hex(tid).alias("text"), F.col("text").isNull().alias("null__")))))
+    row = F.struct(F.col("doc_id").isNull().alias("without__"), "doc_id", *rest, tid.alias("tid__"), whole.alias("whole__"))
+    rows, _ = keep(spark, _fingerprints(docs.select(tid.alias("tid"), row.alias("row"), "text"), words), "rows")
+    nodes = rows.groupBy("tid").agg(F.min("row").alias("row"), *(F.min(c).alias(c) for c in FP)).select(F.monotonically_increasing_id().alias("node"), "*")
+    nodes, _ = keep(spark, nodes, "nodes")
+    comp = components(spark, near_links(spark, nodes, docs.select(tid.alias("tid"), "text"), words, least), "a", "b")
+    stay = nodes.join(comp, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("row").alias("row"))
+    stay, _ = keep(spark, stay.select("row.whole__"), "stay")
+    return docs.withColumn("whole__", whole).join(stay, "whole__").dropDuplicates(["whole__"]).select(docs.columns)

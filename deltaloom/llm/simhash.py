@@ -16,7 +16,7 @@ BLOCK = 4096
 #: Fingerprints that a top node holds on average, at most about: the more there are, the more bits are on top.
 IN_BUCKET = 64
 #: Node pairs that are expanded at once, and the leaf pairs of a node pair that are not worth more levels.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 17
 FEW = 1 << 10
 
 
@@ -85,14 +85,14 @@ def labels_of(n, a, b):
     return lab
 
 
-def trie_walk(group, value, depth: int, budget: int, same, leaves) -> None:
-    """Walk the pairs of nodes of binary tries; leaves(p, q) takes index arrays of the leaf pairs that are left.
+def trie_walk(group, value, depth: int, budget: int, same):
+    """Walk the pairs of nodes of binary tries; yields index arrays (p, q) of the leaf pairs that are left.
 
     Each group is a trie over the low `depth` bits of value (sorted by group, then value). The pairs of its nodes are walked
     together from the root pair down; a pair carries the bits that differ so far and is dropped beyond the budget. same()
     gives the labels known so far: a pair whose leaves all have one label can add nothing and is dropped too, so a dense
-    group does not cost all its pairs. Where a node pair has FEW leaf pairs or less, or no level is left, leaves() decides
-    them by all their bits at once. Nodes are intervals of the sorted array.
+    group does not cost all its pairs. Where a node pair has FEW leaf pairs or less, or no level is left, they are
+    yielded, to be decided by all their bits at once. Nodes are intervals of the sorted array.
     """
     import numpy as np
 
@@ -120,8 +120,7 @@ def trie_walk(group, value, depth: int, budget: int, same, leaves) -> None:
         a0, a1, b0, b1, d = (x[open_] for x in (a0, a1, b0, b1, d))
         leaf = (a1 - a0) * (b1 - b0) <= FEW if level < depth else np.ones(len(a0), bool)
         if leaf.any():
-            for p, q in _leaf_pairs(a0[leaf], a1[leaf], b0[leaf], b1[leaf]):
-                leaves(p, q)
+            yield from _leaf_pairs(a0[leaf], a1[leaf], b0[leaf], b1[leaf])
             a0, a1, b0, b1, d = (x[~leaf] for x in (a0, a1, b0, b1, d))
         if not len(a0):
             continue
@@ -179,8 +178,7 @@ def trie_links(group, value, depth: int, budget: int, words=None, whole: int | N
     found = [(near, near + 1)]
     lab = labels_of(n, near, near + 1)
 
-    def leaves(p, q):
-        nonlocal lab, found
+    for p, q in trie_walk(group, value, depth, budget, lambda: lab):
         open_ = lab[p] != lab[q]
         p, q = p[open_], q[open_]
         hit = bits_apart(words, p, q) <= whole
@@ -189,23 +187,17 @@ def trie_links(group, value, depth: int, budget: int, words=None, whole: int | N
             lab = labels_of(n, *(np.concatenate(x) for x in zip(*found)))
             at = np.flatnonzero(lab != np.arange(n))
             found = [(at, lab[at])]
-
-    trie_walk(group, value, depth, budget, lambda: lab, leaves)
     return lab
 
 
 def trie_pairs(group, value, depth: int, budget: int, words, whole: int, lab):
-    """Pairs within `whole` bits whose labels differ, all of them; values sorted by group, then value."""
+    """Yields all pairs (p, q) within `whole` bits whose labels differ; values sorted by group, then value."""
     import numpy as np
 
-    found = [(np.zeros(0, np.int64),) * 2]
-
-    def leaves(p, q):
+    for p, q in trie_walk(group, value.astype(np.uint64), depth, budget, lambda: lab):
         hit = (lab[p] != lab[q]) & (bits_apart(words, p, q) <= whole)
-        found.append((p[hit], q[hit]))
-
-    trie_walk(group, value.astype(np.uint64), depth, budget, lambda: lab, leaves)
-    return tuple(map(np.concatenate, zip(*found)))
+        if hit.any():
+            yield p[hit], q[hit]
 
 
 def tops(rows: int, budget: int) -> list[tuple[int, ...]]:
