@@ -33,7 +33,7 @@ GRAM = 64
 GROUP, PARTS = 512, 8
 #: Symbols that are sorted at once, and of a text that are hashed at once.
 CHUNK = 1 << 20
-SEGMENT = 8 << 20
+SEGMENT = 2 << 20
 KEPT_POWERS = 2 << 20
 # Odd base of the polynomial hashes modulo 2^64, and the multiplier that mixes a hash before hashes are ordered.
 BASE, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
@@ -46,21 +46,44 @@ _unspaced = re.compile(_UNSPACED).search
 _words = re.compile(rb"%s|(?:(?!%s)\S)+" % (_UNSPACED, _UNSPACED))
 
 
+def word_edges(data: bytes):
+    """Where words begin and end: what stands between blanks, or a character of a script that has none."""
+    import numpy as np
+
+    array = np.frombuffer(data, np.uint8)
+    if not data.isascii() and array.max() >= 0xE0 and _unspaced(data):
+        return tuple(np.array([m.span() for m in _words.finditer(data)], np.int64).reshape(-1, 2).T)
+    blank = np.zeros(256, bool)
+    blank[list(b" \t\n\r\x0b\x0c")] = True
+    at = blank[array]
+    edges = np.flatnonzero(at[1:] != at[:-1]) + 1
+    edges = np.r_[[0] * (len(at) > 0 and not at[0]), edges, [len(at)] * (len(at) > 0 and not at[-1])].astype(np.int64)
+    return edges[::2], edges[1::2]
+
+
 def symbols(data: bytes, words: bool):
-    """The bytes, or XXH64 of each word: what stands between blanks, or a character of a script that has none."""
+    """The bytes, or a 64-bit hash of each word: its polynomial hash and its length, mixed."""
     import numpy as np
-    import xxhash
 
+    array = np.frombuffer(data, np.uint8)
     if not words:
-        return np.frombuffer(data, np.uint8)
-    h = xxhash.xxh64_digest
-    return np.frombuffer(b"".join(map(h, _words.findall(data) if _unspaced(data) else data.split())), "<u8")
+        return array
+    begin, end = word_edges(data)
+    out = np.empty(len(begin), np.uint64)
+    for part in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(begin // CHUNK)) + 1) if len(begin) else []:
+        base, b, e = begin[part[0]], begin[part], end[part]
+        prefix = prefix_hashes(array[base : e[-1]])
+        h = (prefix[e - base] - prefix[b - base]) * powers(len(prefix), True)[b - base]
+        out[part] = mixed(mixed(h) + (e - b).astype(np.uint64))
+    return out
 
 
-def word_spans(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def word_spans(data: bytes, spans) -> list[tuple[int, int]]:
     """Spans of words as spans of data, from a first word's first byte to a last word's last."""
-    at = [m.span() for m in _words.finditer(data)] if spans else []
-    return [(at[b][0], at[e - 1][1]) for b, e in spans]
+    if not spans:
+        return []
+    begin, end = word_edges(data)
+    return [(int(begin[b]), int(end[e - 1])) for b, e in spans]
 
 
 def merged(spans, touching: bool = True) -> list[list[int]]:
@@ -158,7 +181,9 @@ def windows_of(data, length: int, gram: int):
     first, starts, shift, grams = anchors(data, length, gram)
     view, size = memoryview(data.tobytes()), data.itemsize
     cut = [view[a * size : b * size] for a, b in zip(first.tolist(), (first + starts - 1 + length).tolist())]
-    digests = np.frombuffer(b"".join(map(digest, cut)), "<i8").reshape(-1, 2)
+    digests = np.frombuffer(b"".join([hashlib.blake2b(c, digest_size=16).digest() for c in cut]), "<i8").reshape(-1, 2)
+    if len(set(digests[:, 0].tolist())) == len(first):
+        return first, starts, shift, grams, digests, np.zeros(len(first), bool), []
     seen: dict[bytes, int] = {}
     stays, many, spans = [], [], []
     for k, d in enumerate(map(bytes, digests)):
