@@ -72,41 +72,84 @@ def to_boolean(c: Column, kind: str) -> Column:
     return F.coalesce(c != 0, F.lit(False))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once per row, however often use names it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def bytes_of(data: Column) -> Column:
+    """The bytes of a string (UTF-8) or binary as an array of longs, in linear time."""
+    chars = F.split(F.decode(data.cast("binary"), "ISO-8859-1"), "")
+    return F.when(F.octet_length(data) > 0, F.transform(chars, lambda c: F.ascii(c).cast("long"))).otherwise(F.array().cast("array<long>"))
+
+
+def _mul32(x: Column, k: int) -> Column:
+    """x * k modulo 2^32 on longs; the product goes in two halves, so ANSI arithmetic never overflows."""
+    return (x.bitwiseAND(0xFFFF) * F.lit(k) + F.shiftleft((F.shiftright(x, 16) * F.lit(k & 0xFFFF)).bitwiseAND(0xFFFF), 16)).bitwiseAND(0xFFFFFFFF)
+
+
+def _mul64(hi: Column, lo: Column, k: int) -> tuple[Column, Column]:
+    """(hi, lo) * k modulo 2^64, on 32-bit halves."""
+    kh, kl = k >> 32, k & 0xFFFFFFFF
+    p0, p1 = lo.bitwiseAND(0xFFFF) * F.lit(kl), F.shiftright(lo, 16) * F.lit(kl)
+    low = p0 + F.shiftleft(p1.bitwiseAND(0xFFFF), 16)
+    high = F.shiftright(p1, 16) + F.shiftright(low, 32) + _mul32(hi, kl) + _mul32(lo, kh)
+    return high.bitwiseAND(0xFFFFFFFF), low.bitwiseAND(0xFFFFFFFF)
+
+
+# Fixed values of the finalizer: its two multipliers.
+FINAL_1, FINAL_2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
+
+
+def finalize64(key: Column) -> Column:
+    """The 64-bit murmur3 finalizer of a long, as a struct of 32-bit halves hi and lo."""
+
+    def halves(hi: Column, lo: Column) -> Column:
+        return F.struct(hi.alias("hi"), lo.alias("lo"))
+
+    def step(h: Column, k: int | None) -> Column:
+        lo = h["lo"].bitwiseXOR(F.shiftright(h["hi"], 1))  # h ^ (h >>> 33)
+        return halves(h["hi"], lo) if k is None else let(halves(h["hi"], lo), lambda x: halves(*_mul64(x["hi"], x["lo"], k)))
+
+    start = halves(F.shiftrightunsigned(key.cast("long"), 32), key.cast("long").bitwiseAND(0xFFFFFFFF))
+    return let(start, lambda a: let(step(a, FINAL_1), lambda b: let(step(b, FINAL_2), lambda c: step(c, None))))
+
+
+def finalized_partition(key: Column, n: int) -> Column:
+    """The finalized key, unsigned, modulo n."""
+    return let(finalize64(key), lambda h: (h["hi"] % n * ((1 << 32) % n) + h["lo"] % n) % n).cast("int")
+
+
 def murmur2(data: Column) -> Column:
     """Unsigned 32-bit murmur2 of a string's UTF-8 bytes or of a binary, as the common log clients use it; a long.
 
     Built from column functions: the words of 4 bytes are folded by aggregate(), with 32-bit products in two halves.
     """
-    m, mask = 0x5BD1E995, 0xFFFFFFFF
+    m = 0x5BD1E995
+    n = F.octet_length(data).cast("long")
 
-    def mul(x: Column, k: int = m) -> Column:
-        return (x.bitwiseAND(0xFFFF) * F.lit(k) + F.shiftleft((F.shiftright(x, 16) * F.lit(k)).bitwiseAND(0xFFFF), 16)).bitwiseAND(mask)
+    def of(b: Column) -> Column:
+        byte = lambda i: F.get(b, i.cast("int"))
 
-    h = F.hex(data)
-    n = F.octet_length(data).cast("long")
+        def fold(acc: Column, i: Column) -> Column:
+            word = byte(i * 4).bitwiseOR(F.shiftleft(byte(i * 4 + 1), 8)).bitwiseOR(F.shiftleft(byte(i * 4 + 2), 16)).bitwiseOR(F.shiftleft(byte(i * 4 + 3), 24))
+            k = let(_mul32(word, m), lambda k: _mul32(k.bitwiseXOR(F.shiftright(k, 24)), m))
+            return _mul32(acc, m).bitwiseXOR(k)
 
-    def byte(i: Column) -> Column:
-        return F.conv(F.substr(h, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long")
+        words = F.floor(n / 4).cast("int")
+        at = F.when(words > 0, F.sequence(F.lit(0), words - 1)).otherwise(F.array().cast("array<int>"))
+        rest, base, zero = n % 4, words * 4, F.lit(0).cast("long")
 
-    def word(i: Column) -> Column:
-        return byte(i * 4).bitwiseOR(F.shiftleft(byte(i * 4 + 1), 8)).bitwiseOR(F.shiftleft(byte(i * 4 + 2), 16)).bitwiseOR(F.shiftleft(byte(i * 4 + 3), 24))
+        def end(h: Column) -> Column:
+            tail = F.when(rest >= 3, F.shiftleft(byte(base + 2), 16)).otherwise(zero)
+            tail = tail.bitwiseXOR(F.when(rest >= 2, F.shiftleft(byte(base + 1), 8)).otherwise(zero)).bitwiseXOR(F.when(rest >= 1, byte(base)).otherwise(zero))
+            h = F.when(rest > 0, _mul32(h.bitwiseXOR(tail), m)).otherwise(h)
+            h = let(h, lambda x: _mul32(x.bitwiseXOR(F.shiftright(x, 13)), m))
+            return let(h, lambda x: x.bitwiseXOR(F.shiftright(x, 15)))
 
-    def fold(acc: Column, i: Column) -> Column:
-        k = mul(word(i))
-        k = mul(k.bitwiseXOR(F.shiftright(k, 24)))
-        return mul(acc).bitwiseXOR(k)
+        return let(F.aggregate(at, F.lit(0x9747B28C).cast("long").bitwiseXOR(n), fold), end)
 
-    words = F.floor(n / 4).cast("int")
-    at = F.when(words > 0, F.sequence(F.lit(0), words - 1)).otherwise(F.array().cast("array<int>"))
-    start = F.lit(0x9747B28C).cast("long").bitwiseXOR(n)
-    h1 = F.aggregate(at, start, fold)
-    rest, base = n % 4, words * 4
-    tail = F.when(rest >= 3, F.shiftleft(byte(base + 2), 16)).otherwise(F.lit(0).cast("long"))
-    tail = tail.bitwiseXOR(F.when(rest >= 2, F.shiftleft(byte(base + 1), 8)).otherwise(F.lit(0).cast("long")))
-    tail = tail.bitwiseXOR(F.when(rest >= 1, byte(base)).otherwise(F.lit(0).cast("long")))
-    h2 = F.when(rest > 0, mul(h1.bitwiseXOR(tail))).otherwise(h1)
-    h3 = mul(h2.bitwiseXOR(F.shiftright(h2, 13)))
-    return h3.bitwiseXOR(F.shiftright(h3, 15))
+    return let(bytes_of(data), of)
 
 
 def murmur2_partition(key: Column, partitions: int) -> Column:
@@ -114,20 +157,18 @@ def murmur2_partition(key: Column, partitions: int) -> Column:
 
 
 def fnv1a64(data: Column) -> Column:
-    """FNV-1a of a string's bytes, as 16 hex digits."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def run(s):
-        def one(x):
-            h = 0xCBF29CE484222325
-            for b in x.encode() if isinstance(x, str) else bytes(x):
-                h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            return f"{h:016x}"
+    """FNV-1a of a string's bytes, as 16 hex digits: the bytes are folded on 32-bit halves."""
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
 
-        return s.map(one, na_action="ignore")
+    def fold(h: Column, byte: Column) -> Column:
+        # the multiplier is 2^40 + 0x1B3
+        low = h["lo"].bitwiseXOR(byte)
+        part = low * F.lit(0x1B3)
+        high = h["hi"] * F.lit(0x1B3) + F.shiftright(part, 32) + F.shiftleft(low, 8)
+        return F.struct(high.bitwiseAND(0xFFFFFFFF).alias("hi"), part.bitwiseAND(0xFFFFFFFF).alias("lo"))
 
-    return run(data)
+    digits = lambda c: F.lpad(F.lower(F.hex(c)), 8, "0")
+    return F.when(data.isNotNull(), F.aggregate(bytes_of(data), start, fold, lambda h: F.concat(digits(h["hi"]), digits(h["lo"]))))
 
 
 def convert_case(c: Column, how: str) -> Column:
@@ -155,10 +196,7 @@ def normalize_identifier(c: Column, case: str = "none", replacement: str = "_",
 
 def byte_hash31(c: Column) -> Column:
     """h = 31 h + byte, modulo 2^32, over a string's bytes; a long."""
-    h = F.hex(c)
-    at = F.when(F.octet_length(c) > 0, F.sequence(F.lit(0), F.octet_length(c) - 1)).otherwise(F.array().cast("array<int>"))
-    byte = lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
-    return F.aggregate(at, F.lit(0).cast("long"), lambda acc, i: (acc * 31 + byte(i)).bitwiseAND(0xFFFFFFFF))
+    return F.when(c.isNotNull(), F.aggregate(bytes_of(c), F.lit(0).cast("long"), lambda h, x: (h * 31 + x).bitwiseAND(0xFFFFFFFF)))
 
 
 def topic_name(c: Column) -> Column:
@@ -197,29 +235,28 @@ def lsn(c: Column) -> Column:
     return (half(1) * F.lit(4294967296).cast("decimal(20,0)") + half(2)).cast("decimal(20,0)")
 
 
-# Statement prefixes and their kinds, in the order in which they are tried.
+# Statements and their kinds, in the order in which they are tried. The first ones count at the statement's
+# start or after a blank within it, "inside" only within it, "start" only at its start.
 DDL_KINDS = (
-    ("CREATE TABLE", "create"),
-    ("ALTER TABLE", "alter"),
-    ("DROP TABLE", "drop"),
-    ("TRUNCATE", "truncate"),
-    ("RENAME TABLE", "rename"),
-    ("CREATE INDEX", "create_index"),
-    ("CREATE UNIQUE INDEX", "create_index"),
-    ("DROP INDEX", "drop_index"),
-    ("CREATE DATABASE", "create_database"),
-    ("CREATE SCHEMA", "create_database"),
-    ("DROP DATABASE", "drop_database"),
-    ("DROP SCHEMA", "drop_database"),
+    ("CREATE TABLE", "create", "both"),
+    ("ALTER TABLE", "alter", "both"),
+    ("DROP TABLE", "drop", "both"),
+    ("TRUNCATE", "truncate", "both"),
+    ("RENAME TABLE", "rename", "both"),
+    ("RENAME TO", "rename", "inside"),
+    ("CREATE INDEX", "create_index", "both"),
+    ("CREATE UNIQUE INDEX", "create_index", "start"),
+    ("DROP INDEX", "drop_index", "both"),
 )
 
 
 def ddl_kind(c: Column) -> Column:
-    s = F.upper(F.trim(c))
-    out = None
-    for prefix, kind in DDL_KINDS:
-        out = F.when(s.startswith(prefix), kind) if out is None else out.when(s.startswith(prefix), kind)
-    return out.otherwise("unknown")
+    """create, alter, drop, truncate, rename, create_index, drop_index, or other."""
+    s, out = F.upper(F.trim(c)), F
+    for words, kind, where in DDL_KINDS:
+        test = s.startswith(words) if where != "inside" else F.lit(False)
+        out = out.when(test if where == "start" else test | s.contains(f" {words}"), kind)
+    return out.otherwise("other")
 
 
 def epoch_millis(c: Column, kind: str) -> Column:

@@ -28,11 +28,29 @@ def latest(df: DataFrame, key: Column, order: list[str], keep_deletes: bool = Fa
     return out if keep_deletes else out.where("op <> 'd'")
 
 
-def needs_compaction(df: DataFrame, key: Column, ratio: float = 0.5, segment: int = 1_000_000) -> DataFrame:
-    """total, dirty (events that another one of their key has replaced), and whether a compaction is due."""
+def needs_compaction(df: DataFrame, key: Column, ratio: float = 0.5, segment: int = 1_000_000, last_s: int | None = None, now_s: int | None = None, interval_s: int = 300) -> DataFrame:
+    """total, dirty (events that another one of their key has replaced), and whether a compaction is due.
+
+    Due: dirty ones reach their ratio, the events reach a segment's size, or the last compaction (last_s) is interval_s ago.
+    """
     per = df.groupBy(key.alias("_key")).agg(F.count("*").alias("n"))
     out = per.agg(F.sum("n").alias("total"), F.sum(F.col("n") - 1).alias("dirty"))
-    return out.withColumn("due", (F.col("dirty") >= ratio * F.col("total")) | (F.col("total") >= segment))
+    waited = last_s is not None and now_s is not None and now_s - last_s >= interval_s
+    return out.withColumn("due", (F.col("dirty") >= ratio * F.col("total")) | (F.col("total") >= segment) | F.lit(waited))
+
+
+def merge_state(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Two key tables as one: where both have a key, the newer table's row stays."""
+    rest = [c for c in old.columns if c != key]
+    both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
+    return both.groupBy(key).agg(F.max_by(F.struct(*rest), "_side").alias("_r")).select(key, "_r.*")
+
+
+def segment_and_merge(df: DataFrame, key: Column, order: list[str], segment: Column) -> DataFrame:
+    """The latest per key, segment by segment and then over all of them. Segments keep their deletes, so a delete in a newer
+    segment hides older values."""
+    per = latest(df, F.concat_ws("/", segment, key), order, keep_deletes=True).drop("_key")
+    return latest(per, key, order)
 
 
 def expire_tombstones(df: DataFrame, now_s: int, retention_s: int = 24 * 3600) -> DataFrame:

@@ -24,11 +24,15 @@ def event_key(mode: str = "safe", columns: list[str] | None = None, pk: str = "i
 def first_within(df: DataFrame, key: Column, seconds: str, order: list[str], ttl_s: int = 3600) -> DataFrame:
     """Events that are not within ttl_s after the last kept event of their key. The time runs from the kept event.
 
-    A key's times are folded in order by aggregate(), over its sorted distinct seconds: one array per key, at most as long as
-    the log lasts in seconds, however many events a second has.
+    An event ttl_s after the one before it is always kept, so a key's seconds fall into sessions without such a gap, and only
+    within one of them the kept ones follow from each other. A session's distinct seconds are folded in order by aggregate():
+    an array is as long as one session lasts in seconds, however many events a second has and however hot the key is.
     """
     rows = df.withColumn("_k", key)
-    times = rows.groupBy("_k").agg(F.sort_array(F.collect_set(seconds)).alias("_t"))
+    times = rows.select("_k", seconds).distinct()
+    w = Window.partitionBy("_k").orderBy(seconds)
+    times = times.withColumn("_new", F.coalesce(F.col(seconds) - F.lag(seconds).over(w) >= ttl_s, F.lit(True)).cast("int"))
+    times = times.withColumn("_s", F.sum("_new").over(w)).groupBy("_k", "_s").agg(F.sort_array(F.collect_list(seconds)).alias("_t"))
     keeps = F.aggregate(
         "_t", F.array().cast("array<bigint>"),
         lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= ttl_s), F.concat(acc, F.array(t))).otherwise(acc),

@@ -6,9 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dense_offsets(df: DataFrame, partition: list[str], order: list[str], name: str = "offset") -> DataFrame:
-    """0, 1, 2 ... per partition in the given order."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1).cast("long"))
+def dense_offsets(df: DataFrame, partition: list[str], order: list[str], name: str = "offset", blocks: int | None = None) -> DataFrame:
+    """0, 1, 2 ... per partition in the given order; the order must be total for one fixed result.
+
+    Two passes, so that no task needs a whole partition: the first order column, which must be a number or a time, is cut
+    into `blocks` ranges of about equally many rows (default: the shuffle partitions); a block numbers its own rows, and
+    prefix sums over the blocks' row counts (partitions x blocks numbers) give each block its first offset.
+    """
+    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = df.select(order[0]).schema[0].dataType.typeName()
+    if blocks < 2 or kind in ("string", "binary", "boolean", "struct", "array"):
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1).cast("long"))
+    at = F.unix_micros(order[0]) if kind == "timestamp" else F.unix_date(order[0]) if kind == "date" else F.col(order[0])
+    cuts = df.agg(F.percentile_approx(at, [k / blocks for k in range(1, blocks)], 1000).alias("cuts")).first()["cuts"]
+    bounds = sorted(set(cuts or []))  # blocks - 1 numbers at most
+    block = F.coalesce(F.expr("0") if not bounds else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < at)), F.lit(-1))
+    rows = df.withColumn("_b", block)
+    count = rows.groupBy(*partition, "_b").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*partition).orderBy("_b")
+    first = count.select(*partition, "_b", (F.sum("_n").over(w) - F.col("_n")).alias("_first"))
+    own = rows.withColumn("_own", F.row_number().over(Window.partitionBy(*partition, "_b").orderBy(*order)) - 1)
+    out = own.join(first.select(*(F.col(c).alias(f"_p{k}") for k, c in enumerate(partition)), F.col("_b").alias("_pb"), "_first"), [own[c].eqNullSafe(F.col(f"_p{k}")) for k, c in enumerate(partition)] + [own["_b"] == F.col("_pb")])
+    return out.withColumn(name, (F.col("_first") + F.col("_own")).cast("long")).select(*(c for c in df.columns if c != name), name)
 
 
 def read_from(log: DataFrame, partition: int, offset: int, most: int, server_cap: int = 10_000) -> DataFrame:
@@ -27,7 +46,7 @@ def offset_for_time(log: DataFrame, at: Column) -> DataFrame:
 
 def truncate_before(log: DataFrame, watermarks: DataFrame) -> DataFrame:
     """Records at or above their partition's low watermark."""
-    return log.join(F.broadcast(watermarks), "partition", "left").where(F.col("offset") >= F.coalesce("low_watermark", F.lit(0))).drop("low_watermark")
+    return log.join(watermarks, "partition", "left").where(F.col("offset") >= F.coalesce("low_watermark", F.lit(0))).drop("low_watermark")
 
 
 def committed(commits: DataFrame, order: str = "seq") -> DataFrame:
@@ -35,6 +54,29 @@ def committed(commits: DataFrame, order: str = "seq") -> DataFrame:
     return commits.groupBy("group_id", "topic", "partition").agg(F.max_by("offset", order).alias("committed"))
 
 
+def list_groups(commits: DataFrame) -> DataFrame:
+    """Every group that has committed, with its partitions."""
+    return commits.groupBy("group_id").agg(F.count_distinct("topic", "partition").alias("partitions"))
+
+
+def describe_group(commits: DataFrame, bounds_: DataFrame, group_id: str, order: str = "seq") -> DataFrame:
+    """Committed offset and lag of each partition of one group."""
+    own = committed(commits.where(F.col("group_id") == group_id), order)
+    return own.join(bounds_, "partition").select("topic", "partition", "committed", "latest", (F.col("latest") - F.col("committed")).alias("lag"))
+
+
+def delete_group(commits: DataFrame, group_id: str) -> DataFrame:
+    return commits.where(F.col("group_id") != group_id)
+
+
+def reset_group(commits: DataFrame, bounds_: DataFrame, group_id: str, to: str | int = "earliest", order: str = "seq") -> DataFrame:
+    """commits with one more commit for each partition of the group: its earliest or latest offset, or a number within them."""
+    new = {"earliest": F.col("earliest"), "latest": F.col("latest")}.get(to, F.least(F.greatest(F.lit(to), "earliest"), "latest"))
+    last = commits.where(F.col("group_id") == group_id).groupBy("group_id", "topic", "partition").agg((F.max(order) + 1).alias(order))
+    moved = last.join(bounds_, "partition").withColumn("offset", new.cast("long"))
+    return commits.unionByName(moved.select(commits.columns))
+
+
 def lag(bounds_: DataFrame, commits: DataFrame) -> DataFrame:
     return bounds_.join(commits, "partition", "left").select("partition", "latest", F.coalesce("committed", F.lit(0)).alias("committed"), (F.col("latest") - F.coalesce("committed", F.lit(0))).alias("lag"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltaloom.functions import predicates as P
+from deltaloom.functions.scalar import finalized_partition
 
 
 @dataclass
@@ -50,7 +51,18 @@ def content_route(df: DataFrame, rules: list[tuple[Column, str]], default: str |
 
 
 def key_partition(n: int, *parts: Column) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(n)).cast("int")
+    """The finalized 64-bit hash of the parts, modulo n. One long part is its own hash."""
+    return finalized_partition(F.xxhash64(*parts), n)
+
+
+def table_partition(n: int, full: bool = False) -> Column:
+    """All events of a table go to one partition; full: the database counts too."""
+    return key_partition(n, *([F.col("database")] if full else []), F.col("schema"), F.col("table"))
+
+
+def batch_groups(df: DataFrame, partition: Column, order: Column) -> DataFrame:
+    """A batch of records per partition: rows, first and last of `order`."""
+    return df.groupBy(partition.alias("partition")).agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last"))
 
 
 def round_robin(position: Column, n: int) -> Column:

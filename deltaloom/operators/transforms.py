@@ -344,6 +344,36 @@ def to_source_event(df: DataFrame) -> DataFrame:
     return out.where("event_type is not null")
 
 
+def runner_step(kind: str, *args) -> Callable[[DataFrame], DataFrame]:
+    """A source runner's step over connector events: filter_type keeps kinds, filter_stream keeps streams, rename renames a
+    column, add adds a constant. An unknown name is an error."""
+    steps = {
+        "filter_type": lambda df: df.where(F.col("event_type").isin(list(args))),
+        "filter_stream": lambda df: df.where(F.col("stream").isin(list(args))),
+        "rename": lambda df: df.withColumnRenamed(*args),
+        "add": lambda df: df.withColumn(args[0], F.lit(args[1])),
+    }
+    if kind not in steps:
+        raise ValueError(f"unknown step {kind!r}")
+    return steps[kind]
+
+
+def run_steps(df: DataFrame, steps: list[tuple]) -> DataFrame:
+    for step in steps:
+        df = runner_step(*step)(df)
+    return df
+
+
+def map_batch(df: DataFrame, **columns: Column) -> DataFrame:
+    """Records with columns computed anew; a record batch's map."""
+    return df.withColumns(columns)
+
+
+def filter_batch(df: DataFrame, keep: Column) -> DataFrame:
+    """Records that a test holds for; null counts as no."""
+    return df.where(F.coalesce(keep, F.lit(False)))
+
+
 def cloud_event(events: DataFrame, source: str) -> DataFrame:
     return events.select(F.lit("1.0").alias("specversion"), F.concat(F.lit("change."), F.col("event_type")).alias("type"), F.lit(source).alias("source"), F.col("stream").alias("subject"), F.date_format(F.timestamp_seconds("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), F.to_json("data").alias("data"), "seq")
 

@@ -18,6 +18,13 @@ def group_transactions(df: DataFrame) -> DataFrame:
     )
 
 
+def first_last(df: DataFrame) -> DataFrame:
+    """is_first, is_last (as the source says it) and single (the only event) within each transaction."""
+    n = df.where("txn is not null").groupBy(F.col("txn.id").alias("_t")).agg(F.count("*").alias("_n"), F.min(F.struct("txn.sequence", "seq")).alias("_f"))
+    out = df.join(n, df["txn.id"] == n["_t"])
+    return out.withColumns({"is_first": F.struct("txn.sequence", "seq") == F.col("_f"), "is_last": F.col("txn.is_last"), "single": F.col("_n") == 1}).drop("_t", "_n", "_f")
+
+
 def transaction_orders(df: DataFrame) -> DataFrame:
     """total_order in the transaction and collection_order in its table, both from 1."""
     w = Window.partitionBy("txn.id").orderBy("txn.sequence", "seq")
@@ -43,10 +50,18 @@ def committed_only(log: DataFrame, aborted: DataFrame, open_from: DataFrame | No
         hit = hit & (log["partition"] == aborted["partition"])
     out = log.join(aborted, hit, "left_anti")
     if open_from is not None:
-        out = out.join(F.broadcast(open_from), "partition", "left").where(F.col("first_open").isNull() | (F.col("offset") < F.col("first_open"))).drop("first_open")
+        out = out.join(open_from, "partition", "left").where(F.col("first_open").isNull() | (F.col("offset") < F.col("first_open"))).drop("first_open")
     return out
 
 
+def sequence_steps(log: DataFrame, epoch: str = "epoch", sequence: str = "sequence") -> DataFrame:
+    """step of each record against the one before it of its producer, partition and epoch: first, next, repeat or gap."""
+    prev = F.lag(sequence).over(Window.partitionBy("producer_id", "partition", epoch).orderBy("offset"))
+    at = log.withColumn("_p", prev)
+    step = F.when(F.col("_p").isNull(), "first").when(F.col(sequence) == F.col("_p") + 1, "next").when(F.col(sequence) <= F.col("_p"), "repeat").otherwise("gap")
+    return at.withColumn("step", step).drop("_p")
+
+
 def check_sequences(log: DataFrame) -> DataFrame:
     """valid, duplicate, out_of_order, fenced or reset, by the running highest epoch and the sequence before."""
     w = Window.partitionBy("producer_id", "partition").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,6 +79,14 @@ def check_sequences(log: DataFrame) -> DataFrame:
 
 
 def outcomes(markers: DataFrame) -> DataFrame:
-    """The state of each transaction from its markers (txn_id, seq, marker: begin, prepare_commit, commit, prepare_abort, abort)."""
+    """The state of each transaction from its markers (txn_id, seq, marker: begin, prepare_commit, commit, prepare_abort, abort).
+
+    Where markers have an epoch, a producer of an older epoch than one seen before is fenced: its markers don't count.
+    """
+    fenced = "epoch" in markers.columns
+    if fenced:  # a marker of an older epoch than one before it is void
+        top = F.max("epoch").over(Window.partitionBy("txn_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+        markers = markers.withColumn("_top", top).where(F.col("_top").isNull() | (F.col("epoch") >= F.col("_top")))
     last = markers.groupBy("txn_id").agg(F.max_by("marker", "seq").alias("marker"))
-    return last.select("txn_id", F.when(F.col("marker") == "commit", "complete_commit").when(F.col("marker") == "abort", "complete_abort").when(F.col("marker") == "begin", "ongoing").otherwise(F.col("marker")).alias("state"))
+    state = F.when(F.col("marker") == "commit", "complete_commit").when(F.col("marker") == "abort", "complete_abort").when(F.col("marker").isin("begin", "empty"), "ongoing")
+    return last.select("txn_id", state.otherwise(F.col("marker")).alias("state"))

@@ -8,6 +8,7 @@ from deltaloom.functions import predicates as P
 from deltaloom.operators import compaction as C
 from deltaloom.operators import offsets as O
 from deltaloom.operators import routing as R
+from deltaloom.operators import schemas, sketches
 from deltaloom.operators import stats as A
 from deltaloom.operators import txn as T
 from deltaloom.registry import query
@@ -39,10 +40,7 @@ def a04_tombstone_expiry(spark, sf_dir):
 
 @query("with {EV}, " + LAST + " select user_id, event_id from last where n = 1 and op <> 'd'")
 def a05_segmented_compaction(spark, sf_dir):
-    """Segments are folded one by one, deletes kept, and then together: a delete in a newer segment hides older values."""
-    log = events_log(spark, sf_dir)
-    per = C.latest(log, F.concat_ws("/", F.floor(F.col("seq") / 2000), P.field("user_id")), ["ts_s", "seq"], keep_deletes=True).drop("_key")
-    return C.latest(per, P.field("user_id"), ["ts_s", "seq"]).select("after.user_id", "after.event_id")
+    return C.segment_and_merge(events_log(spark, sf_dir), P.field("user_id"), ["ts_s", "seq"], F.floor(F.col("seq") / 2000)).select("after.user_id", "after.event_id")
 
 
 @query("""with {LOG}, top as (select partition, key, max("offset") as o from lg where "offset" < 1000 group by 1, 2)
@@ -80,27 +78,70 @@ def a11_chunks(spark, sf_dir):
     return A.chunks(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id"], ["turn"], 3)
 
 
-@query("""select true as close from (select count(distinct l_orderkey) from lineitem)""")
+REGISTERS = """select cast('0x' || substr(md5(cast({key} as varchar)), 1, 3) as bigint) as register, max(case when x = 0 then 53 else 53 - length(bin(x)) end) as rank
+  from (select *, cast('0x' || substr(md5(cast({key} as varchar)), 4, 13) as bigint) as x from lineitem) group by 1"""
+ESTIMATE = """select cast(round(case when raw <= 2.5 * 4096 and n < 4096 then 4096 * ln(4096.0 / (4096 - n)) else raw end) as bigint) as estimate
+  from (select count(*) as n, 0.7213 / (1 + 1.079 / 4096) * 4096 * 4096 / (sum(power(2.0, -rank)) + 4096 - count(*)) as raw from r)"""
+
+
+@query("with r as (" + REGISTERS.format(key="l_orderkey") + ") select estimate, abs(estimate - n) <= 0.05 * n as close from (" + ESTIMATE + "), (select count(distinct l_orderkey) as n from lineitem)")
 def a12_hyperloglog(spark, sf_dir):
-    out = table(spark, sf_dir, "lineitem").agg(F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey", F.lit(14))).alias("e"), F.count_distinct("l_orderkey").alias("n"))
-    return out.select((F.abs(F.col("e") - F.col("n")) <= 0.03 * F.col("n")).alias("close"))
+    """The estimate of registers that any engine can build, and whether it lies within three standard errors of the count."""
+    keys = table(spark, sf_dir, "lineitem").select("l_orderkey")
+    n = keys.distinct().count()
+    return sketches.cardinality(sketches.registers(keys, F.col("l_orderkey"))).select("estimate", (F.abs(F.col("estimate") - n) <= 0.05 * n).alias("close"))
 
 
-@query("""select count(distinct o_custkey) as present, true as none_lost, true as few_false from orders""")
-def a13_bloom_filter(spark, sf_dir):
-    from deltaloom.operators import sketches
+def _places(rows: str, bits: int, hashes: int) -> str:
+    """SQL for the distinct (k, place) of rows with a text column k."""
+    return f"select distinct k, (cast('0x' || substr(md5(k), 1, 15) as bigint) % {bits} + i * ((cast('0x' || substr(md5(k), 16, 15) as bigint) | 1) % {bits})) % {bits} as place from {rows}, range({hashes}) t(i)"
+
+
+BLOOM = sketches.shape(200_000, 0.01)
+
 
+@query(f"""with k as (select distinct cast(o_custkey as varchar) as k from orders), f as (select distinct place from ({_places("k", *BLOOM)})),
+probe as (select k, true as real from k union all select 'x' || o_orderkey, false from orders),
+got as (select k, bool_and(place in (select place from f)) as hit from ({_places("probe", *BLOOM)}) group by k)
+select (select count(*) from f) as bits_set, count(*) filter (where real) as present, count(*) filter (where real and not hit) as lost, count(*) filter (where not real and hit) as false_positives from probe join got using (k)""")
+def a13_bloom_filter(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    bloom = sketches.bloom(orders, F.col("o_custkey").cast("string"), 200_000, 0.01)
+    bloom = sketches.bloom(orders, F.col("o_custkey"), 200_000, 0.01)
     probe = orders.select(F.col("o_custkey").cast("string").alias("k"), F.lit(True).alias("real")).distinct().unionAll(orders.select(F.concat(F.lit("x"), F.col("o_orderkey").cast("string")), F.lit(False)))
     hit = sketches.might_contain(probe, "k", bloom)
-    return hit.agg(F.count_if("real").alias("present"), (F.count_if(F.col("real") & ~F.col("might_contain")) == 0).alias("none_lost"), (F.count_if(~F.col("real") & F.col("might_contain")) <= 0.03 * F.count_if(~F.col("real"))).alias("few_false"))
+    set_ = bloom.words.agg(F.sum(F.bit_count("bits")).alias("bits_set"))
+    return hit.agg(F.count_if("real").alias("present"), F.count_if(F.col("real") & ~F.col("might_contain")).alias("lost"), F.count_if(~F.col("real") & F.col("might_contain")).alias("false_positives")).select(set_.scalar().alias("bits_set"), "*")
+
+
+COUNTING, OFFSETS = sketches.shape(50_000, 0.01), sketches.shape(60_000, 0.01)
 
 
-@query("""with {LOG} select partition, min("offset") // 64 * 64 as first_bucket, max("offset") // 64 * 64 as last_bucket, count(distinct "offset" // 64) as buckets from lg group by partition""")
-def a14_offset_buckets(spark, sf_dir):
-    b = F.floor(F.col("offset") / 64)
-    return log_table(spark, sf_dir).groupBy("partition").agg((F.min(b) * 64).alias("first_bucket"), (F.max(b) * 64).alias("last_bucket"), F.count_distinct(b).alias("buckets"))
+@query(f"""with s as (select cast(o_custkey as varchar) as k, case when o_orderstatus = 'F' then -1 else 1 end as s from orders),
+p as ({_places("(select distinct k from s)", *COUNTING)}), n as (select place, greatest(sum(s), 0) as n from s join p using (k) group by 1),
+got as (select k, bool_and(coalesce(n, 0) > 0) as held from p left join n using (place) group by k)
+select count(*) as keys, count(*) filter (where held) as held, (select count(*) from n where n > 0) as places, (select cast(sum(n) as bigint) from n) as counted from got""")
+def a14_counting_filter(spark, sf_dir):
+    """Orders add their customer, finished ones remove one again: which customers are held after that."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("k"), F.when(F.col("o_orderstatus") == "F", -1).otherwise(1).alias("s"))
+    counters = sketches.counting(o, F.col("k"), 50_000, 0.01, F.col("s"))
+    held = sketches.counted(o.select("k").distinct(), "k", counters, 50_000, 0.01)
+    sums = counters.agg(F.count("*").alias("places"), F.sum("n").alias("counted"))
+    return held.agg(F.count("*").alias("keys"), F.count_if("might_contain").alias("held")).select("keys", "held", sums.select("places").scalar().alias("places"), sums.select("counted").scalar().alias("counted"))
+
+
+@query(f"""with o as (select cast(o_orderkey as bigint) as o from orders where o_orderkey % 7 <> 0 or o_orderkey % 1000 > 500), r as (select o_orderkey as a, o_orderkey + case when o_orderkey % 2 = 0 then 3 else 2500 end as b from orders),
+f as (select distinct place from ({_places("(select cast(o as varchar) as k from o)", *OFFSETS)})), g as (select distinct place from ({_places("(select distinct cast(o // 1000 as varchar) as k from o)", *sketches.shape(60, 0.01))})),
+m as (select min(o) as lo, max(o) as hi from o), c as (select a, b, greatest(a, lo) as a2, least(b, hi) as b2 from r, m),
+few as (select distinct a, cast(x as varchar) as k from c, unnest(range(a2, b2 + 1)) t(x) where b - a <= 10), many as (select distinct a, cast(x as varchar) as k from c, unnest(range(a2 // 1000, b2 // 1000 + 1)) t(x) where b - a > 10 and a2 <= b2),
+fk as (select k, bool_and(place in (select place from f)) as hit from ({_places("(select distinct k from few)", *OFFSETS)}) group by k), gk as (select k, bool_and(place in (select place from g)) as hit from ({_places("(select distinct k from many)", *sketches.shape(60, 0.01))}) group by k),
+hits as (select a, bool_or(hit) as hit from few join fk using (k) group by a union all select a, bool_or(hit) from many join gk using (k) group by a)
+select a, b, coalesce(hit, false) as might_contain from r left join hits using (a)""")
+def a14_offset_ranges(spark, sf_dir):
+    """Which ranges of offsets may hold one that was added: short ones offset by offset, long ones by buckets of 1,000."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    sketch = sketches.offset_bloom(o.where("o_orderkey % 7 <> 0 or o_orderkey % 1000 > 500"), "o_orderkey", 60_000)
+    ranges = o.select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + F.when(F.col("o_orderkey") % 2 == 0, 3).otherwise(2500)).alias("b"))
+    return sketches.might_hold_range(ranges, "a", "b", sketch)
 
 
 @query("""with s as (select event_type, list_sort(list(value)) as v from events group by 1)
@@ -144,10 +185,9 @@ def w02_transaction_orders(spark, sf_dir):
     return T.transaction_orders(events_log(spark, sf_dir, txn=True)).select(P.field("event_id").alias("event_id"), "total_order", "collection_order")
 
 
-@query("""select event_id, event_id % 10 = 0 as is_first, event_id % 10 = 9 as is_last, count(*) over (partition by event_id // 10) = 1 as single from events""")
+@query("""select event_id, event_id = min(event_id) over (partition by event_id // 10) as is_first, event_id % 10 = 9 as is_last, count(*) over (partition by event_id // 10) = 1 as single from events""")
 def w03_first_last_of_transaction(spark, sf_dir):
-    t = events_log(spark, sf_dir, txn=True)
-    return t.select(P.field("event_id").alias("event_id"), (F.col("txn.sequence") == 0).alias("is_first"), F.col("txn.is_last").alias("is_last"), (F.count("*").over(W.partitionBy("txn.id")) == 1).alias("single"))
+    return T.first_last(events_log(spark, sf_dir, txn=True)).select(P.field("event_id").alias("event_id"), "is_first", "is_last", "single")
 
 
 @query("""with {LOG}, s as (select *, case when "offset" % 7 = 3 then 5 else "offset" % 11 end as sequence, "offset" // 500 as epoch from lg),
@@ -155,19 +195,19 @@ t as (select *, lag(sequence) over (partition by producer_id, partition, epoch o
 select partition, producer_id, count(*) filter (where prev is null) as firsts, count(*) filter (where sequence = prev + 1) as nexts, count(*) filter (where sequence <= prev) as repeats, count(*) filter (where sequence > prev + 1) as gaps from t group by 1, 2""")
 def w04_expected_sequence(spark, sf_dir):
     s = log_table(spark, sf_dir).withColumns({"sequence": F.when(F.col("offset") % 7 == 3, 5).otherwise(F.col("offset") % 11), "epoch": F.floor(F.col("offset") / 500)})
-    prev = F.lag("sequence").over(W.partitionBy("producer_id", "partition", "epoch").orderBy("offset"))
-    t = s.withColumn("prev", prev)
-    return t.groupBy("partition", "producer_id").agg(F.count_if(F.col("prev").isNull()).alias("firsts"), F.count_if(F.col("sequence") == F.col("prev") + 1).alias("nexts"), F.count_if(F.col("sequence") <= F.col("prev")).alias("repeats"), F.count_if(F.col("sequence") > F.col("prev") + 1).alias("gaps"))
+    t = T.sequence_steps(s)
+    return t.groupBy("partition", "producer_id").agg(*(F.count_if(F.col("step") == k).alias(f"{k}s") for k in ("first", "next", "repeat", "gap")))
 
 
-@query("""select * from (values (2, ['c'], ['b'], 1), (3, cast([] as varchar[]), ['a'], 0)) t(version, added, removed, modified)""")
+@query("""select n_name as "table", v as version, case v when 1 then 'create' else 'alter' end as kind,
+  case v when 1 then ['a', 'b'] when 2 then ['c'] else cast([] as varchar[]) end as added, case v when 2 then ['b'] when 3 then ['a'] else cast([] as varchar[]) end as removed,
+  case v when 2 then ['a'] when 3 then cast([] as varchar[]) when 5 then ['c'] else cast([] as varchar[]) end as modified from nation, (values (1), (2), (3), (5)) t(v)""")
 def w05_column_diff(spark, sf_dir):
-    v = spark.createDataFrame([(1, [("a", "int"), ("b", "text")]), (2, [("a", "long"), ("c", "text")]), (3, [("c", "text")])], "version int, cols array<struct<name: string, type: string>>")
-    was = F.lag("cols").over(W.partitionBy(F.lit("t")).orderBy("version"))
-    names = lambda c: F.transform(c, lambda x: x["name"])
-    d = v.withColumn("was", was).where("was is not null")
-    changed = F.size(F.filter("cols", lambda x: F.exists("was", lambda y: (y["name"] == x["name"]) & (y["type"] != x["type"]))))
-    return d.select("version", F.array_sort(F.array_except(names(F.col("cols")), names(F.col("was")))).alias("added"), F.array_sort(F.array_except(names(F.col("was")), names(F.col("cols")))).alias("removed"), changed.alias("modified"))
+    """Versions of each nation's columns; the fourth is equal to the third and no change."""
+    v = [(1, [("a", "int"), ("b", "text")]), (2, [("a", "long"), ("c", "text")]), (3, [("c", "text")]), (4, [("c", "text")]), (5, [("c", "int")])]
+    cols = F.explode(F.array(*(F.struct(F.lit(k).alias("version"), F.array(*(F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in c)).alias("cols")) for k, c in v)))
+    versions = table(spark, sf_dir, "nation").select(F.lit("public").alias("schema"), F.col("n_name").alias("table"), cols.alias("v")).select("schema", "table", "v.*")
+    return schemas.from_versions(versions).drop("schema")
 
 
 # sorts and limits
@@ -224,27 +264,26 @@ def u02_several_topics(spark, sf_dir):
     return a.unionByName(b).unionByName(c).where(F.col("topic").isin("events", "orders"))
 
 
-@query("""select true as close from region limit 1""")
+@query("with r as (" + REGISTERS.format(key="l_partkey") + ") select register, rank from r")
 def u03_sketch_merge(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    per = li.groupBy("l_returnflag").agg(F.hll_sketch_agg("l_partkey", F.lit(14)).alias("s"))
-    n = li.agg(F.count_distinct("l_partkey").alias("n"))
-    return per.agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("e")).join(n).select((F.abs(F.col("e") - F.col("n")) <= 0.03 * F.col("n")).alias("close"))
+    """Registers of each return flag, merged: those of the whole table."""
+    return sketches.merge_registers(sketches.registers(table(spark, sf_dir, "lineitem"), F.col("l_partkey"), by=["l_returnflag"]))
 
 
 @query("""select c_custkey as k, case when c_custkey % 2 = 0 then 'right' else 'left' end as v from customer union all select -1, 'right'""")
 def u04_state_merge(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    left = c.select("k", F.lit("left").alias("v"), F.lit(0).alias("side"))
-    right = c.where("k % 2 = 0").unionAll(spark.range(1).select(F.lit(-1).cast("long"))).select("k", F.lit("right").alias("v"), F.lit(1).alias("side"))
-    return left.unionByName(right).groupBy("k").agg(F.max_by("v", "side").alias("v"))
+    right = c.where("k % 2 = 0").unionAll(spark.range(1).select(F.lit(-1).cast("long"))).select("k", F.lit("right").alias("v"))
+    return C.merge_state(c.select("k", F.lit("left").alias("v")), right, "k")
 
 
-@query("""select 'l_comment' as only_new, 7 as shared""")
+@query("""select n_name, case when n_regionkey > 1 then ['n_extra'] else cast([] as varchar[]) end as added, case when n_regionkey = 0 then ['n_name'] else cast([] as varchar[]) end as removed,
+  case when n_regionkey = 0 then ['n_key'] else ['n_key', 'n_name'] end as shared from nation""")
 def u05_column_sets(spark, sf_dir):
-    cols = table(spark, sf_dir, "lineitem").columns[:7]
-    d = spark.range(1).select(F.array(*map(F.lit, cols)).alias("a"), F.array(*map(F.lit, [*cols, "l_comment"])).alias("b"))
-    return d.select(F.element_at(F.array_except("b", "a"), 1).alias("only_new"), F.size(F.array_intersect("a", "b")).alias("shared"))
+    col = lambda n: F.struct(F.lit(n).alias("name"), F.lit("text").alias("type"))
+    old = F.array(col("n_key"), col("n_name"))
+    new = F.when(F.col("n_regionkey") == 0, F.array(col("n_key"))).when(F.col("n_regionkey") > 1, F.array(col("n_key"), col("n_name"), col("n_extra"))).otherwise(old)
+    return table(spark, sf_dir, "nation").select("n_name", schemas.column_sets(old, new).alias("d")).select("n_name", "d.added", "d.removed", "d.shared")
 
 
 @query("""select event_id, case when user_id % 2 = 0 then 'a,b' else 'b' end as d from events""")

@@ -106,12 +106,12 @@ def j01_snapshot_reconcile(spark, sf_dir):
     return reconcile(table(spark, sf_dir, "customer").select("c_custkey"), stream, "c_custkey", w)
 
 
-@query("""with {LOG} select partition, "offset" from lg where not ((producer_id = 1 and "offset" between 10 and 20) or (producer_id = 3 and "offset" between 100 and 400))""")
+@query("""with {LOG} select partition, "offset" from lg where not (producer_id = 1 and "offset" between 10 and 20) and not (producer_id = 3 and "offset" between 100 and 400)""")
 def j02_aborted_ranges(spark, sf_dir):
     from deltaloom.operators.txn import committed_only
 
     aborted = spark.createDataFrame([(1, 10, 20), (3, 100, 400)], "producer_id long, first long, last long")
-    return committed_only(log_table(spark, sf_dir), F.broadcast(aborted)).select("partition", "offset")
+    return committed_only(log_table(spark, sf_dir), aborted).select("partition", "offset")
 
 
 @query("""select c_custkey, case when max(event_id) is not null then 'event' else 'snapshot' end as choice, max(event_id) as xid from customer left join events on user_id = c_custkey and event_id between 100 and 400 group by c_custkey""")

@@ -27,9 +27,9 @@ def s02_datagen_cdc(spark, sf_dir):
     return datagen.change_events(spark, 1000, pool=50, seed=7)
 
 
-@query("""select o_orderkey, o_totalprice from orders where o_orderstatus = 'O' and o_orderkey <= 100000""")
+@query("""select o_orderkey, o_totalprice from orders where o_orderstatus = 'O'""")
 def s10_poll_bulk(spark, sf_dir):
-    return poll.bulk(table(spark, sf_dir, "orders"), ["o_orderkey", "o_totalprice"], "o_orderstatus = 'O' and o_orderkey <= 100000")
+    return poll.bulk(table(spark, sf_dir, "orders"), ["o_orderkey", "o_totalprice"], "o_orderstatus = 'O'")
 
 
 @query("""select o_orderkey, o_custkey from orders where o_orderkey > 40 order by o_orderkey limit 300""")
@@ -72,12 +72,21 @@ def s19_offset_for_timestamp(spark, sf_dir):
     return O.offset_for_time(log, F.lit(m))
 
 
-@query("""select 'snapshot' as phase, count(*) as n from customer union all select 'stream', count(*) from events""")
+@query("""with n as (select 'snapshot' as phase, count(*) as n from customer union all select 'stream', count(*) from events),
+m as (select * from (values ('always', true, true, true), ('initial', false, true, true), ('initial', true, false, true), ('initial_only', false, true, false), ('schema_only', false, false, true), ('when_needed', true, false, true), ('recovery', true, false, true), ('configuration_based', false, true, false)) t(mode, stored, reads, streams))
+select mode, stored, phase, n from m, n where (phase = 'snapshot' and reads) or (phase = 'stream' and streams)""")
 def s20_initial_snapshot(spark, sf_dir):
+    """What each mode emits, at a first start and where a position is stored."""
     from deltaloom.envelope import customer_snapshot
+    from deltaloom.operators.snapshot import start
 
     snap = customer_snapshot(spark, sf_dir).select(F.lit("snapshot").alias("phase"))
-    return snap.unionByName(events_log(spark, sf_dir).select(F.lit("stream").alias("phase"))).groupBy("phase").agg(F.count("*").alias("n"))
+    stream, out = events_log(spark, sf_dir).select(F.lit("stream").alias("phase")), None
+    for mode, stored in (("always", True), ("initial", False), ("initial", True), ("initial_only", False), ("schema_only", False), ("when_needed", True), ("recovery", True), ("configuration_based", False)):
+        flags = {"start_stream": False} if mode == "configuration_based" else {}
+        one = start(snap, stream, mode, stored, **flags).groupBy("phase").agg(F.count("*").alias("n")).select(F.lit(mode).alias("mode"), F.lit(stored).alias("stored"), "phase", "n")
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 @query("""select event_id, case when event_id % 4 <> 0 then 'delivered' when event_id % 3 = 0 then 'failed' else 'pending' end as status, case when event_id % 3 = 0 then 3 else 1 end as attempts from events""")
@@ -94,9 +103,11 @@ def k05_object_layout(spark, sf_dir):
     return spark.read.parquet(path).select("event_id", "op", F.floor(F.col("ts_s") / 86400).alias("day"))
 
 
-@query("with {EV}, last as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from ev) select user_id, event_id from last where n = 1 and op <> 'd' union all select -c_custkey, -1 from customer where c_custkey between 1 and 10")
+@query("""with {EV}, last as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from ev) select user_id, event_id from last where n = 1 and op <> 'd'
+union all select c_custkey, cast(-1 as bigint) from customer where c_custkey not in (select user_id from ev)""")
 def k10_merge_sink(spark, sf_dir):
-    target = table(spark, sf_dir, "customer").where("c_custkey between 1 and 10").select((-F.col("c_custkey")).alias("user_id"), F.lit(-1).cast("long").alias("event_id"))
+    """All customers as the target: those with events are updated or deleted, the others stay, new users come."""
+    target = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.lit(-1).cast("long").alias("event_id"))
     return formats.merge(target, events_log(spark, sf_dir), "user_id", ["ts_s", "seq"])
 
 

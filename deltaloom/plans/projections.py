@@ -147,8 +147,9 @@ def p15_field_helpers(spark, sf_dir):
 
 @query("""with {EV} select case op when 'c' then 'insert' when 'd' then 'delete' else 'update' end as kind, 'public.events' as stream, 'batch' as origin, event_id as seq from ev where op = 'c'""")
 def p16_source_runner_steps(spark, sf_dir):
-    e = X.to_source_event(events_log(spark, sf_dir)).where(F.col("event_type") == "insert")
-    return e.withColumnRenamed("event_type", "kind").withColumn("origin", F.lit("batch")).select("kind", "stream", "origin", "seq")
+    e = X.to_source_event(events_log(spark, sf_dir))
+    steps = [("filter_type", "insert"), ("filter_stream", "public.events"), ("rename", "event_type", "kind"), ("add", "origin", "batch")]
+    return X.run_steps(e, steps).select("kind", "stream", "origin", "seq")
 
 
 @query("""select 'c' as op, c_custkey, '***MASKED***' as c_name, c_mktsegment as segment, 'cdc.customer' as topic from customer""")
@@ -194,8 +195,9 @@ def p22_field_encryption(spark, sf_dir):
     return opened.select("after.event_id", F.col("after.a").alias("event_type"), "stable", "hidden")
 
 
-@query("""with {LOG} select partition, "offset", upper(value) as value from lg where key % 3 = 0 and strlen(value) > 0""")
+@query("""with {LOG} select partition, "offset", upper(value) as value from lg where strlen(value) > 0""")
 def p23_record_batch_map_filter(spark, sf_dir):
     from deltaloom.envelope import log_table
 
-    return log_table(spark, sf_dir).where("key % 3 = 0 and octet_length(value) > 0").select("partition", "offset", F.upper("value").alias("value"))
+    full = X.filter_batch(log_table(spark, sf_dir), F.octet_length("value") > 0)
+    return X.map_batch(full, value=F.upper("value")).select("partition", "offset", "value")
\ No newline at end of file

@@ -54,7 +54,7 @@ def r06_broker_partitioner(spark, sf_dir):
 
 @query("""select user_id % 4 as partition, count(*) as n, min(event_id) as first, max(event_id) as last from events group by 1""")
 def r07_batch_partitioner(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 4).alias("partition")).agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    return R.batch_groups(table(spark, sf_dir, "events"), F.col("user_id") % 4, F.col("event_id"))
 
 
 @query("""with {LOG} select distinct 'log-' || partition || '-value' as topic, 'com.acme.Event' as record, 'log-' || partition || '-com.acme.Event' as topic_record from lg""")

@@ -64,18 +64,25 @@ def x11_conditional(spark, sf_dir):
     return e.select("event_id", F.when(P.equals(F.col("event_type"), "click"), "a").when(P.matches(F.col("props"), "9"), "b").otherwise("c").alias("c"))
 
 
-@query("""select * from (values ('', 275646681), ('hello', 2132663229), ('kafka', 3496464228)) t(s, h)""")
+@query("""with known as (select * from (values ('', 275646681), ('hello', 2132663229), ('kafka', 3496464228)) t(s, h)) select s, h, cast(null as bigint) as n from known
+union all select 'keys', null, count(distinct user_id) from events""")
 def x12_murmur2(spark, sf_dir):
-    return spark.createDataFrame([("",), ("hello",), ("kafka",)], "s string").select("s", S.murmur2(F.col("s")).alias("h"))
-
-
-@query("""select count(*) as n, true as stable, true as all_used from events""")
+    """Known values, and the keys of the whole table: as many hashes as keys."""
+    known = spark.createDataFrame([("",), ("hello",), ("kafka",)], "s string").select("s", S.murmur2(F.col("s")).alias("h"), F.lit(None).cast("long").alias("n"))
+    keys = table(spark, sf_dir, "events").select(S.murmur2(F.col("user_id").cast("string")).alias("h")).agg(F.count_distinct("h").alias("n"))
+    return known.unionByName(keys.select(F.lit("keys").alias("s"), F.lit(None).cast("long").alias("h"), "n"))
+
+
+@query("""with recursive e as (select distinct user_id, cast(user_id as ubigint) as h from events),
+a as (select user_id, xor(h, h >> 33) as h from e),
+b as (select user_id, cast((cast(h as uhugeint) * 18397679294719823053) % 18446744073709551616 as ubigint) as h from a),
+c as (select user_id, xor(h, h >> 33) as h from b),
+d as (select user_id, cast((cast(h as uhugeint) * 14181476777654086739) % 18446744073709551616 as ubigint) as h from c),
+f as (select user_id, xor(h, h >> 33) as h from d)
+select user_id, cast(h % 8 as integer) as p8, cast(h % 97 as integer) as p97 from f""")
 def x13_key_hash_partition(spark, sf_dir):
-    from deltaloom.operators.routing import key_partition
-
-    e = table(spark, sf_dir, "events").select("user_id", key_partition(8, F.lit("events"), F.col("user_id")).alias("p"))
-    per = e.groupBy("user_id").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count("*").alias("n"))
-    return per.agg(F.sum("n").alias("n"), F.bool_and(F.col("lo") == F.col("hi")).alias("stable"), (F.count_distinct("lo") == 8).alias("all_used"))
+    u = table(spark, sf_dir, "events").select("user_id").distinct()
+    return u.select("user_id", S.finalized_partition(F.col("user_id"), 8).alias("p8"), S.finalized_partition(F.col("user_id"), 97).alias("p97"))
 
 
 @query("""select count(*) as n, true as few_moved from customer""")
@@ -87,9 +94,12 @@ def x14_consistent_ring(spark, sf_dir):
     return both.agg(F.count("*").alias("n"), (F.count_if((F.col("a") != F.col("b")) & (F.col("b") != 8)) == 0).alias("few_moved"))
 
 
-@query("""select * from (values ('', 'cbf29ce484222325'), ('a', 'af63dc4c8601ec8c'), ('foobar', '85944171f73967e8')) t(s, h)""")
+@query("""with known as (select * from (values ('', 'cbf29ce484222325'), ('a', 'af63dc4c8601ec8c'), ('foobar', '85944171f73967e8')) t(s, h)) select s, h, cast(null as bigint) as n from known
+union all select 'urls', null, count(distinct url) from pages""")
 def x15_fnv1a(spark, sf_dir):
-    return spark.createDataFrame([("",), ("a",), ("foobar",)], "s string").select("s", S.fnv1a64(F.col("s")).alias("h"))
+    known = spark.createDataFrame([("",), ("a",), ("foobar",)], "s string").select("s", S.fnv1a64(F.col("s")).alias("h"), F.lit(None).cast("long").alias("n"))
+    urls = table(spark, sf_dir, "pages").agg(F.count_distinct(S.fnv1a64(F.col("url"))).alias("n"))
+    return known.unionByName(urls.select(F.lit("urls").alias("s"), F.lit(None).cast("string").alias("h"), "n"))
 
 
 @query("""select '123456789' as s, 3421780262 as c""")
@@ -132,10 +142,16 @@ def x22_position_parse(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", S.lsn(text).alias("pos"))
 
 
-@query("""select * from (values ('CREATE TABLE t (a int)', 'create'), ('  alter table t add b int', 'alter'), ('truncate t', 'truncate'), ('select 1', 'unknown'), ('Create unique index i', 'create_index')) t(s, kind)""")
+@query("""with s as (select n_nationkey, case n_nationkey % 12 when 0 then 'CREATE TABLE ' || n_name || ' (a int)' when 1 then '  alter table ' || n_name || ' add b int' when 2 then 'truncate ' || n_name when 3 then 'select 1'
+  when 4 then 'Create unique index i on ' || n_name when 5 then '/* x */ CREATE TABLE ' || n_name when 6 then 'begin; drop table ' || n_name when 7 then 'rename table a to b' when 8 then 'exec RENAME TO ' || n_name
+  when 9 then 'ALTER TABLE a RENAME TO b' when 10 then 'drop index i' else 'create database d' end as sql from nation)
+select n_nationkey, sql, case n_nationkey % 12 when 0 then 'create' when 1 then 'alter' when 2 then 'truncate' when 3 then 'other' when 4 then 'create_index' when 5 then 'create' when 6 then 'drop' when 7 then 'rename' when 8 then 'rename'
+  when 9 then 'alter' when 10 then 'drop_index' else 'other' end as kind from s""")
 def x23_ddl_classifier(spark, sf_dir):
-    rows = [("CREATE TABLE t (a int)",), ("  alter table t add b int",), ("truncate t",), ("select 1",), ("Create unique index i",)]
-    return spark.createDataFrame(rows, "s string").select("s", S.ddl_kind(F.col("s")).alias("kind"))
+    shapes = ["CREATE TABLE {} (a int)", "  alter table {} add b int", "truncate {}", "select 1", "Create unique index i on {}", "/* x */ CREATE TABLE {}", "begin; drop table {}", "rename table a to b", "exec RENAME TO {}", "ALTER TABLE a RENAME TO b", "drop index i", "create database d"]
+    n = table(spark, sf_dir, "nation")
+    sql = F.replace(F.element_at(F.array(*map(F.lit, shapes)), (F.col("n_nationkey") % 12 + 1).cast("int")), F.lit("{}"), F.col("n_name"))
+    return n.select("n_nationkey", sql.alias("sql"), S.ddl_kind(sql).alias("kind"))
 
 
 @query("""select p_partkey, cast(trunc(p_retailprice) as bigint) as i, p_retailprice <> 0 as b, cast(p_size as double) as f, cast(p_size as varchar) as s from part""")

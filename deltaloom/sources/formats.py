@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deltaloom.functions import predicates as P
 from deltaloom.operators.compaction import latest
+from deltaloom.operators.offsets import dense_offsets
 
 EXTENSIONS = {"none": "", "gzip": ".gz", "zstd": ".zst", "snappy": ".snappy", "lz4": ".lz4"}
 
@@ -44,9 +45,8 @@ def merge(target: DataFrame, changes: DataFrame, key: str, order: list[str]) ->
 
 def publish(df: DataFrame, ends: DataFrame, order: list[str]) -> DataFrame:
     """Records with offsets that go on from each partition's end (partition, latest)."""
-    w = Window.partitionBy("partition").orderBy(*order)
-    out = df.withColumn("_n", F.row_number().over(w)).join(F.broadcast(ends), "partition", "left")
-    return out.withColumn("offset", (F.col("_n") - 1 + F.coalesce("latest", F.lit(0))).cast("long")).drop("_n", "latest")
+    out = dense_offsets(df, ["partition"], order, "_n").join(ends.select("partition", "latest"), "partition", "left")
+    return out.withColumn("offset", (F.col("_n") + F.coalesce("latest", F.lit(0))).cast("long")).drop("_n", "latest")
 
 
 def sync(old: DataFrame, new: DataFrame, mode: str, keys: list[str] | None = None, order: str | None = None) -> DataFrame:
@@ -71,6 +71,26 @@ def unframe(data: Column) -> Column:
     return F.when(ok, F.struct(F.conv(F.hex(F.substring(data, 2, 4)), 16, 10).cast("long").alias("schema_id"), F.substr(data, F.lit(6)).alias("payload")))
 
 
+def backoff_ms(attempt: Column, first: int = 100) -> Column:
+    """The wait after a failed attempt, counted from 0: it doubles each time."""
+    return (F.lit(first) * F.pow(F.lit(2.0), attempt)).cast("long")
+
+
+def retried(df: DataFrame, failures: Column, attempts: int = 3) -> DataFrame:
+    """df with tries (publish attempts made), waited_ms between them, and dead: all `attempts` of them failed.
+
+    failures: how many attempts fail before one succeeds.
+    """
+    tries = F.least(failures + 1, F.lit(attempts)).cast("int")
+    waits = F.aggregate(F.sequence(F.lit(0), F.lit(attempts)), F.lit(0).cast("long"), lambda s, k: s + F.when(k < F.least(failures, F.lit(attempts)), backoff_ms(k)).otherwise(0))
+    return df.withColumns({"tries": tries, "waited_ms": waits, "dead": failures >= attempts})
+
+
+def dead_letter_envelope(topic: Column, connector: str, payload: Column, error: Column, retries: Column, at: Column) -> Column:
+    """The dead-letter record as JSON: where it was bound for, the payload in base 64, the error, the retries, the time."""
+    return F.to_json(F.struct(topic.alias("original_topic"), F.lit(connector).alias("connector_name"), F.base64(payload.cast("binary")).alias("payload_b64"), error.alias("error"), retries.cast("int").alias("retry_count"), at.alias("timestamp")))
+
+
 def dead_letters(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
     """(good rows, rows for the dead-letter sink): by whether the error column is null."""
     return df.where(F.col(error).isNull()).drop(error), df.where(F.col(error).isNotNull())
