@@ -66,9 +66,12 @@ def symbols(data: bytes, words: bool):
     import numpy as np
 
     array = np.frombuffer(data, np.uint8)
-    if not words:
-        return array
-    begin, end = word_edges(data)
+    return _word_hashes(array, *word_edges(data)) if words else array
+
+
+def _word_hashes(array, begin, end):
+    import numpy as np
+
     out = np.empty(len(begin), np.uint64)
     for part in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(begin // CHUNK)) + 1) if len(begin) else []:
         base, b, e = begin[part[0]], begin[part], end[part]
@@ -78,6 +81,18 @@ def symbols(data: bytes, words: bool):
     return out
 
 
+def symbols_of_many(texts: list[bytes], words: bool) -> list:
+    """symbols of several texts; words are found in all of them at once, with a line feed between texts."""
+    import numpy as np
+
+    if not words or any(not t.isascii() and _unspaced(t) for t in texts):
+        return [symbols(t, words) for t in texts]
+    whole = b"\n".join(texts)
+    ends = np.cumsum([len(t) + 1 for t in texts])[:-1]
+    begin, end = word_edges(whole)
+    return np.split(_word_hashes(np.frombuffer(whole, np.uint8), begin, end), np.searchsorted(begin, ends))
+
+
 def word_spans(data: bytes, spans) -> list[tuple[int, int]]:
     """Spans of words as spans of data, from a first word's first byte to a last word's last."""
     if not spans:
@@ -146,24 +161,14 @@ def anchors(data, length: int = LENGTH, gram: int = GRAM):
     import numpy as np
 
     firsts, counts, shifts, grams = [], [], [], []
-    wide = length - gram + 1
     for begin in range(0, max(0, len(data) - length + 1), SEGMENT - length + 1):
         part = data[begin : begin + SEGMENT]
-        h = mixed(window_hashes(prefix_hashes(part), gram))
-        n = len(part) - length + 1
-        if n < 1:
+        if len(part) < length:
             continue
-        at = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
-        rows = -(-len(at) // wide)
-        grid = np.full(rows * wide, np.iinfo(np.uint64).max)
-        grid[: len(at)] = at
-        grid = grid.reshape(rows, wide)
-        ahead = np.minimum.accumulate(grid, 1).ravel()
-        back = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-        least = (np.minimum(back[:n], ahead[wide - 1 : wide - 1 + n]) & np.uint64(0xFFFFFF)).astype(np.int64)
+        h, least = _anchored(part, length, gram)
         first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
         firsts.append(first + begin)
-        counts.append(np.diff(np.r_[first, n]))
+        counts.append(np.diff(np.r_[first, len(least)]))
         shifts.append(least[first] - first)
         grams.append(h[least[first]].view(np.int64))
     if not firsts:
@@ -171,17 +176,42 @@ def anchors(data, length: int = LENGTH, gram: int = GRAM):
     return tuple(map(np.concatenate, (firsts, counts, shifts, grams)))
 
 
+def _anchored(part, length: int, gram: int):
+    """The mixed hashes of all k-grams, and where the anchor of each `length`-string is: the least k-gram, leftmost of equals."""
+    import numpy as np
+
+    wide, n = length - gram + 1, len(part) - length + 1
+    h = mixed(window_hashes(prefix_hashes(part), gram))
+    at = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
+    rows = -(-len(at) // wide)
+    grid = np.full(rows * wide, np.iinfo(np.uint64).max)
+    grid[: len(at)] = at
+    grid = grid.reshape(rows, wide)
+    ahead = np.minimum.accumulate(grid, 1).ravel()
+    back = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
+    return h, (np.minimum(back[:n], ahead[wide - 1 : wide - 1 + n]) & np.uint64(0xFFFFFF)).astype(np.int64)
+
+
 def windows_of(data, length: int, gram: int):
     """The different windows of one text and what repeats within it: (first, starts, shift, gram, digests, many), and spans.
 
     many: the window occurs again in the text. Its later places have been compared with the first and are among the spans.
     """
+    return _different(*anchors(data, length, gram), data, length)
+
+
+def _digests(data, first, starts, length: int):
     import numpy as np
 
-    first, starts, shift, grams = anchors(data, length, gram)
     view, size = memoryview(data.tobytes()), data.itemsize
     cut = [view[a * size : b * size] for a, b in zip(first.tolist(), (first + starts - 1 + length).tolist())]
-    digests = np.frombuffer(b"".join([hashlib.blake2b(c, digest_size=16).digest() for c in cut]), "<i8").reshape(-1, 2)
+    return cut, np.frombuffer(b"".join([hashlib.blake2b(c, digest_size=16).digest() for c in cut]), "<i8").reshape(-1, 2)
+
+
+def _different(first, starts, shift, grams, data, length: int):
+    import numpy as np
+
+    cut, digests = _digests(data, first, starts, length)
     if len(set(digests[:, 0].tolist())) == len(first):
         return first, starts, shift, grams, digests, np.zeros(len(first), bool), []
     seen: dict[bytes, int] = {}
@@ -199,6 +229,39 @@ def windows_of(data, length: int, gram: int):
     return *(x[stays] for x in (first, starts, shift, grams, digests)), many, merged(spans, False)
 
 
+def windows_of_many(texts, length: int, gram: int):
+    """windows_of for several short texts at once, as one table: (text, first, starts, shift, gram, digests, many), and spans.
+
+    texts: arrays of symbols. The texts lie end to end; windows across an end are left out. spans: (text, begin, end).
+    """
+    import numpy as np
+
+    data, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+    base = np.cumsum(sizes) - sizes
+    none = np.zeros(0, np.int64)
+    if len(data) < length:
+        return none, none, none, none, none, none.reshape(0, 2), none > 0, []
+    h, least = _anchored(data, length, gram)
+    text = np.repeat(np.arange(len(texts)), sizes)[: len(least)]
+    valid = np.flatnonzero(np.arange(len(least)) + length <= (base + sizes)[text])
+    least, text = least[valid], text[valid]
+    new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1])]) if len(valid) else none
+    first, text, starts = valid[new], text[new], np.diff(np.r_[new, len(valid)]) if len(new) else none
+    shift, grams = least[new] - first, h[least[new]].view(np.int64)
+    _, digests = _digests(data, first, starts, length)
+    many, spans, stays = np.zeros(len(first), bool), [], np.ones(len(first), bool)
+    order = np.lexsort((digests[:, 0], text))
+    again = order[1:][(digests[order[1:], 0] == digests[order[:-1], 0]) & (text[order[1:]] == text[order[:-1]])]
+    for t in np.unique(text[again]).tolist():  # texts that repeat something within themselves
+        at = np.flatnonzero(text == t)
+        own = first[at] - base[t]
+        kept, *_, twice, inner = _different(own, starts[at], shift[at], grams[at], texts[t], length)
+        stays[at] = np.isin(own, kept)
+        many[at[stays[at]]] = twice
+        spans += [(t, b, e) for b, e in inner]
+    return *(x[stays] for x in (text, first - base[text], starts, shift, grams, digests, many)), spans
+
+
 def sort_suffixes(buffer, segment, start, length: int):
     """Merge-sort of suffixes within segments (numbers, ascending): the order, and whether each equals the one before it.
 
@@ -306,32 +369,38 @@ def _anchor_table(docs: DataFrame, length: int, gram: int, words: bool) -> DataF
 
         hold("powers", _powers.clear)
 
-        def table(tids, sizes, cols):
-            tid = pa.array(tids, pa.binary()).take(pa.array(np.repeat(np.arange(len(tids)), sizes)))
-            key, bare, d0, d1, first, starts, shift, many = (np.concatenate(x) for x in zip(*cols))
-            return pa.RecordBatch.from_arrays([pa.array(key, mask=bare), pa.array(d0), pa.array(d1), tid, pa.array(np.zeros(len(key), np.int64)), pa.array(first), pa.array(starts), pa.array(shift), pa.array(many)], NAMES)
+        def table(tids, text, first, starts, shift, key, digests, many, spans):
+            t, b, e = np.array(spans, np.int64).reshape(-1, 3).T
+            none, bare = np.zeros(len(b), np.int64), np.arange(len(first) + len(b)) >= len(first)
+            tid = pa.array(tids, pa.binary()).take(pa.array(np.r_[text, t]))
+            longs = (np.r_[digests[:, 0], none], np.r_[digests[:, 1], none], np.zeros(len(bare), np.int64), np.r_[first, b], np.r_[starts, e - b - length + 1], np.r_[shift, none])
+            d0, d1, at, *rest = map(pa.array, longs)
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[key, none], mask=bare), d0, d1, tid, at, *rest, pa.array(np.r_[many, none > 0])], NAMES)
+
+        def several(data):
+            arrays = symbols_of_many(data, words)
+            long = [k for k, a in enumerate(arrays) if len(a) >= length] or [0]
+            return table([hashlib.md5(data[k]).digest() for k in long], *windows_of_many([arrays[k] for k in long], length, gram))
 
         for batch in batches:
-            tids, sizes, cols, held = [], [], [], 0
+            held: list[bytes] = []
+            size = 0
             for i in range(batch.num_rows):
                 text = batch.column("text")[i].as_py()
                 if text is None or (not words and len(text) * 4 < length):
                     continue
                 data = text.encode()
-                first, starts, shift, key, digests, many, spans = windows_of(symbols(data, words), length, gram)
-                if not len(first):
+                if len(data) > CHUNK:
+                    *cols, spans = windows_of(symbols(data, words), length, gram)
+                    yield table([hashlib.md5(data).digest()], np.zeros(len(cols[0]), np.int64), *cols, [(0, b, e) for b, e in spans])
                     continue
-                b, e = np.array(spans, np.int64).reshape(-1, 2).T
-                none, size = np.zeros(len(b), np.int64), len(first) + len(b)
-                tids.append(hashlib.md5(data).digest())
-                sizes.append(size)
-                cols.append((np.r_[key, none], np.arange(size) >= len(first), np.r_[digests[:, 0], none], np.r_[digests[:, 1], none], np.r_[first, b], np.r_[starts, e - b - length + 1], np.r_[shift, none], np.r_[many, none > 0]))
-                held += size
-                if held > 100_000:
-                    yield table(tids, sizes, cols)
-                    tids, sizes, cols, held = [], [], [], 0
-            if tids:
-                yield table(tids, sizes, cols)
+                held.append(data)
+                size += len(data)
+                if size > CHUNK // 2:
+                    yield several(held)
+                    held, size = [], 0
+            if held:
+                yield several(held)
 
     return docs.select("text").mapInArrow(run, ITEM)
 

@@ -468,6 +468,20 @@ def test_windows_within_one_text():
     assert len(first) <= 2 and many.any() and spans == [[0, 5000]]
 
 
+def test_windows_of_many_texts_are_those_of_each():
+    r = random.Random(23)
+    texts_ = [np.frombuffer("".join(r.choice("ab") for _ in range(r.choice([0, 5, 39, 40, 41, 200, 900]))).encode(), np.uint8) for _ in range(60)] + [np.frombuffer(b"x" * 300, np.uint8)]
+    got = sufdedup.windows_of_many(texts_, 40, 8)
+    rows, spans = [], []
+    for k, t in enumerate(texts_):
+        first, starts, shift, grams, digests, many, own = sufdedup.windows_of(t, 40, 8)
+        rows += [(k, *map(int, x)) for x in zip(first, starts, shift, grams, digests[:, 0], digests[:, 1], many)]
+        spans += [(k, *x) for x in own]
+    text, first, starts, shift, grams, digests, many, found = got
+    assert [tuple(map(int, x)) for x in zip(text, first, starts, shift, grams, digests[:, 0], digests[:, 1], many)] == rows
+    assert sorted(found) == sorted(spans) and spans
+
+
 def test_suffix_dedup_counts_passages(spark):
     r = random.Random(22)
     words = lambda n: " ".join(str(r.random()) for _ in range(n))

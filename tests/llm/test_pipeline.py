@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 
-from tests.llm.test_operators import DATA
+from tests.llm.test_operators import DATA, docs_of, odd_rows
 from tests.llm.test_stages import plain_near_copies, plain_passages
 
 
@@ -34,3 +34,32 @@ def test_stages_and_run(spark):
     whole = Counter(tuple(r) for r in corpus_pipeline.run(spark, DATA).select("doc_id", "start", "length", "doc_tokens").collect())
     assert {r[0] for r in whole} == {i for i, _ in b}
     assert sum(r[2] for r in whole) == sum(r[3] for r in whole if r[1] == 0)
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, ties, repeated rows, columns with other stages' names, and no rows at all."""
+    rows = odd_rows() + odd_rows()[:3]
+    docs = docs_of(spark, rows).selectExpr("*", "1 as rejected", "'x' as kept", "2 as coverage", "3 as node", "4 as start")
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        if name != "packing":
+            assert out.columns == columns
+        got = [(r["doc_id"], r["text"]) for r in out.collect()] if name != "packing" else None
+        if name == "toxicity":  # the few labelled ones among these rows are all that the chain is fitted on
+            assert Counter(got) <= Counter(rows) and {(i, t) for i, t in rows if not (t or "").split()} <= set(got)
+        elif name == "decontamination":
+            assert Counter(got) == Counter(rows)
+        elif name == "simhash_dedup":
+            near = plain_near_copies([(k, t) for k, (_, t) in enumerate(rows)])
+            best = {}
+            for k, (i, t) in enumerate(rows):
+                best.setdefault(near[k], []).append((i is None, i or 0))
+            assert sorted((i is None, i or 0) for i, _ in got) == sorted(min(x) for x in best.values())
+        elif name == "suffix_dedup":
+            assert Counter(got) == Counter({(i, t or ""): n for (i, t), n in plain_passages(rows).items()})
+        else:
+            pieces = out.collect()
+            assert sum(r["length"] for r in pieces) == sum(r["doc_tokens"] for r in pieces if r["start"] == 0)
+            assert sum(r["start"] == 0 for r in pieces) == len(rows)
+        assert stage(spark, docs.where("false"), DATA).count() == 0
