@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from deltaloom.llm.common import dealt, drop_folder, hold, keep, ship, whole_keys
 from deltaloom.llm.components import components
-from deltaloom.llm.simhash import BITS, trie_links, trie_pairs
+from deltaloom.llm.simhash import BITS, bits_apart, trie_links
 
 WORDS = 5
 #: Two texts are near copies if they share this part of their shingles or more, as a fraction.
@@ -25,6 +25,8 @@ WIDE, ERRORS = 128, 3.3
 MISSED = 0.002
 #: Texts under a top node on average, at most about; fewest bits on top; and texts that are walked in one block.
 IN_BUCKET, TOP, BLOCK = 512, 9, 4096
+#: Texts whose sets are compared in one block, and words of bit sets that are compared at once.
+SETS, AT_ONCE = 1024, 1 << 20
 FP = ["f0", "f1"]
 SEED = 42
 #: Shingles that are counted at once.
@@ -115,7 +117,9 @@ def _under_tops(fps: DataFrame, top: int, tries: int) -> DataFrame:
     return fps.select("node", *FP).mapInArrow(run, "bucket long, node long, f0 long, f1 long")
 
 
-def _sets(texts: DataFrame, words: int) -> DataFrame:
+def _sets(members: DataFrame, words: int) -> DataFrame:
+    """members (bucket, node, f0, f1, text) with the hashes of their shingles in place of text."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -125,40 +129,59 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
             sets = [shingles(batch.column("text")[i].as_py(), words).view(np.int64) for i in range(batch.num_rows)]
             if sets:
                 cuts = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(sets)))], ["node", "hashes"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>")
+                hashes = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "node", *FP)), hashes], ["bucket", "node", *FP, "hashes"])
 
+    return members.select("bucket", "node", *FP, "text").mapInArrow(run, "bucket long, node long, f0 long, f1 long, hashes array<long>")
 
-def _similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets' Jaccard similarity is at least `least`."""
-    a, b = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
-    both, common = F.size("of_a") + F.size("of_b"), F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(a, "a").join(b, "b").where(common * sum(least) >= both * least[0]).select("a", "b")
 
+def bit_sets(sets):
+    """The sets as rows of 64-bit words, one bit for each element that two sets or more have; no others can be shared."""
+    import numpy as np
 
-def _sorted_tables(batches):
-    """Tables of whole keys as (bucket, group, fingerprint words, other columns), in the order of a trie over the first word."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    shared = times[place] > 1
+    row, bit = row[shared], number[place[shared]]
+    width = int(number[-1]) // 64 + 1 if len(number) and number[-1] >= 0 else 1
+    out = np.zeros(len(sets) * width, np.uint64)
+    if len(row):
+        word = row * width + bit // 64
+        by = np.argsort(word, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(word[by]) != 0])
+        out[word[by][first]] = np.bitwise_or.reduceat(np.uint64(1) << (bit[by] % 64).astype(np.uint64), first)
+    return out.reshape(len(sets), width)
+
+
+def similar_sets(fp, sets, budget: int, least: tuple[int, int]):
+    """Labels of different texts, sorted by fp[0], that link: fingerprints within the budget, and Jaccard of `least` or more."""
     import numpy as np
 
-    for t in whole_keys(batches):
-        cols = {c: t.column(c).to_numpy() for c in t.column_names}
-        words = [cols[c].view(np.uint64) for c in FP]
-        order = np.lexsort((words[0], cols["bucket"], cols["key"]))  # keys of two buckets may be equal
-        cols = {c: x[order] for c, x in cols.items()}
-        group = np.cumsum(np.r_[True, (cols["key"][1:] != cols["key"][:-1]) | (cols["bucket"][1:] != cols["bucket"][:-1])])
-        yield cols, group, [w[order] for w in words]
+    bits, size = bit_sets(sets), np.array([len(x) for x in sets])
+    step = max(1, AT_ONCE // bits.shape[1])
 
+    def decide(p, q):
+        hit = bits_apart(fp, p, q) <= budget
+        at = np.flatnonzero(hit)
+        for k in range(0, len(at), step):
+            i = at[k : k + step]
+            common = np.bitwise_count(bits[p[i]] & bits[q[i]]).sum(1, dtype=np.int64)
+            hit[i] = common * sum(least) >= (size[p[i]] + size[q[i]]) * least[0]
+        return hit
 
-def near_links(spark: SparkSession, nodes: DataFrame, texts: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Links (a, b) of near copies that connect every pair of near copies that meet in a trie.
+    return trie_links(np.zeros(len(sets), np.int64), fp[0], BITS, min(budget, BITS), decide)
 
-    nodes: (node, tid, f0, f1), a kept table of different texts. texts: (tid, text), where a text may repeat.
 
-    The walk of a top node's trie gives components of fingerprints within the budget. First each of their members is
-    compared with the smallest one; copies of one text end in one group by that. Where members are still apart, the
-    component is walked again, and all its pairs within the budget from different groups are compared. Every comparison is
-    that of the whole sets of shingles. The links are a written table.
+def near_links(spark: SparkSession, nodes: DataFrame, texts: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Links (a, b) that connect all near copies that meet in a trie. nodes: (node, row, f0, f1), a kept table of different
+    texts. texts: (row, text); a row that is there several times counts once.
+
+    The walk of the tries gives links of fingerprints within the budget, a star per component and top node. What they
+    connect is one bucket, to which each of its texts brings its set of shingles once; there the trie of all of them is
+    walked again, and a pair within the budget links if the whole sets are similar enough. Pairs of texts that are linked
+    already are left out, and only a star per component leaves a task. A bucket over SETS texts is dealt out as pairs of
+    blocks. The links are a written table.
     """
     ship(spark)
     folders = []
@@ -174,43 +197,51 @@ def near_links(spark: SparkSession, nodes: DataFrame, texts: DataFrame, words: i
         import numpy as np
         import pyarrow as pa
 
-        for cols, group, fp in _sorted_tables(batches):
-            lab = trie_links(group, fp[0], BITS, min(budget, BITS), fp, budget)
-            least_node = np.full(len(lab), np.iinfo(np.int64).max)
-            np.minimum.at(least_node, lab, cols["node"])
-            b = least_node[lab]
-            at = np.flatnonzero(b != cols["node"])
-            yield pa.RecordBatch.from_arrays([pa.array(cols["key"][at]), pa.array(cols["node"][at]), pa.array(b[at])], ["key", "a", "b"])
+        hold("nearsets")
+        for t in whole_keys(batches):
+            cols = {c: t.column(c).to_numpy() for c in t.column_names}
+            order = np.lexsort((cols["f0"].view(np.uint64), cols["bucket"], cols["key"]))  # keys of two buckets may be equal
+            key, bucket, node, *fp = (cols[c][order] for c in ("key", "bucket", "node", *FP))
+            fp = [x.view(np.uint64) for x in fp]
+            group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])])
+            lab = trie_links(group, fp[0], BITS, min(budget, BITS), lambda p, q: bits_apart(fp, p, q) <= budget)
+            smallest = np.full(len(lab), np.iinfo(np.int64).max)
+            np.minimum.at(smallest, lab, node)
+            at = np.flatnonzero(smallest[lab] != node)
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(smallest[lab][at])], ["a", "b"])
 
     met = dealt(spark, _under_tops(nodes, top, tries), ["bucket"], "node", BLOCK).select("key", "bucket", "node", *FP)
-    stars = kept(met.mapInArrow(first, "key long, a long, b long"), "stars")
-    pairs = kept(stars.select("a", "b").distinct(), "pairs")
-    inside = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    inside = kept(nodes.join(inside, "node").select("node", "tid"), "inside")
-    sets = kept(_sets(texts.join(inside, "tid"), words).dropDuplicates(["node"]), "sets")
-    links, _ = keep(spark, _similar(pairs, sets, least), "starlinks")
-    comp = components(spark, links, "a", "b")
-
-    # the same component may come from several tries: it is known by its smallest node and its members
-    members = stars.select("key", "b", F.col("a").alias("node")).unionAll(stars.select("key", "b", F.col("b").alias("node")).distinct())
-    members = kept(members.join(comp, "node", "left").select("key", "b", "node", F.coalesce("component", "node").alias("comp")), "members")
-    apart = members.groupBy("key", "b").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), F.count("*").alias("n")).where("x <> y")
-    apart = apart.groupBy("b", "same", "n").agg(F.min("key").alias("key")).select("key", "b")
-    again = kept(members.join(apart, ["key", "b"]).withColumn("bucket", F.xxhash64("key", "b")).select("bucket", "node", "comp").join(nodes.select("node", *FP), "node"), "again")
+    near = components(spark, met.mapInArrow(first, "a long, b long").distinct(), "a", "b")
+    members = kept(nodes.join(near, "node").select(F.col("component").alias("bucket"), "node", "row", *FP), "members")
+    sets = kept(_sets(texts.join(members, "row"), words), "sets")
 
     def second(batches):
         import numpy as np
         import pyarrow as pa
 
-        for cols, group, fp in _sorted_tables(batches):
-            for p, q in trie_pairs(group, fp[0], BITS, min(budget, BITS), fp, budget, np.unique(cols["comp"], return_inverse=True)[1]):
-                x, y = cols["node"][p], cols["node"][q]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    more = dealt(spark, again, ["bucket"], "node", BLOCK).select("key", "bucket", "node", "comp", *FP).mapInArrow(second, "a long, b long").distinct()
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = kept(more.join(done, ["a", "b"], "left_anti"), "more")
-    out, _ = keep(spark, links.unionAll(_similar(more, sets, least)), "nearlinks")
+        hold("nearsets")
+        for t in whole_keys(batches, 2 * SETS):
+            t = t.combine_chunks()
+            cols = {c: t.column(c).to_numpy() for c in ("key", "bucket", "node", *FP)}
+            hashes, out = t.column("hashes").chunk(0), [np.zeros((2, 0), np.int64)]
+            order = np.lexsort((cols["node"], cols["bucket"], cols["key"]))
+            key, bucket, node = (cols[c][order] for c in ("key", "bucket", "node"))
+            same = (key[1:] == key[:-1]) & (bucket[1:] == bucket[:-1])
+            begin, end = np.flatnonzero(np.r_[True, ~same]), np.flatnonzero(np.r_[~same, True]) + 1
+            once = np.r_[True, ~same | (node[1:] != node[:-1])]
+            for b, e in zip(begin.tolist(), end.tolist()):
+                at = order[b:e][once[b:e]]
+                if len(at) > 1:
+                    fp = [cols[c].view(np.uint64)[at] for c in FP]
+                    by = np.argsort(fp[0], kind="stable")
+                    at, fp = at[by], [x[by] for x in fp]
+                    lab = similar_sets(fp, [hashes[i].values.to_numpy() for i in at.tolist()], budget, least)
+                    linked = np.flatnonzero(lab != np.arange(len(lab)))
+                    out.append(np.stack([cols["node"][at[linked]], cols["node"][at[lab[linked]]]]))
+            a, b = np.concatenate(out, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    out, _ = keep(spark, dealt(spark, sets, ["bucket"], "node", SETS).select("key", "bucket", "node", *FP, "hashes").mapInArrow(second, "a long, b long"), "nearlinks")
     for path in folders:
         drop_folder(spark, path)
     return out
@@ -233,7 +264,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LE
     rows, _ = keep(spark, _fingerprints(docs.select(tid.alias("tid"), row.alias("row"), "text"), words), "rows")
     nodes = rows.groupBy("tid").agg(F.min("row").alias("row"), *(F.min(c).alias(c) for c in FP)).select(F.monotonically_increasing_id().alias("node"), "*")
     nodes, _ = keep(spark, nodes, "nodes")
-    comp = components(spark, near_links(spark, nodes, docs.select(tid.alias("tid"), "text"), words, least), "a", "b")
+    texts = docs.select(whole.alias("row"), "text")
+    comp = components(spark, near_links(spark, nodes.select("node", F.col("row.whole__").alias("row"), *FP), texts, words, least), "a", "b")
     stay = nodes.join(comp, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("row").alias("row"))
     stay, _ = keep(spark, stay.select("row.whole__"), "stay")
     return docs.withColumn("whole__", whole).join(stay, "whole__").dropDuplicates(["whole__"]).select(docs.columns)

@@ -161,10 +161,10 @@ def bits_apart(words, p, q):
     return out
 
 
-def trie_links(group, value, depth: int, budget: int, words=None, whole: int | None = None):
+def trie_links(group, value, depth: int, budget: int, decide=None):
     """Component labels of values (sorted by group, then value) linked at `budget` bits or fewer: see trie_walk.
 
-    words, whole: the trie is over a part of longer fingerprints, and pairs within `whole` bits of all their words link.
+    decide(p, q): which leaf pairs link, if the trie holds only a part of what is compared; default: by the values' bits.
     """
     import numpy as np
 
@@ -172,16 +172,15 @@ def trie_links(group, value, depth: int, budget: int, words=None, whole: int | N
     if n < 2:
         return np.arange(n)
     value = value.astype(np.uint64)
-    words, whole = ([value], budget) if words is None else (words, whole)
+    decide = decide or (lambda p, q: bits_apart([value], p, q) <= budget)
     edge = np.flatnonzero(group[1:] == group[:-1])
-    near = edge[bits_apart(words, edge, edge + 1) <= whole]
+    near = edge[decide(edge, edge + 1)]
     found = [(near, near + 1)]
     lab = labels_of(n, near, near + 1)
-
     for p, q in trie_walk(group, value, depth, budget, lambda: lab):
         open_ = lab[p] != lab[q]
         p, q = p[open_], q[open_]
-        hit = bits_apart(words, p, q) <= whole
+        hit = decide(p, q)
         if hit.any():
             found.append((p[hit], q[hit]))
             lab = labels_of(n, *(np.concatenate(x) for x in zip(*found)))
@@ -190,16 +189,6 @@ def trie_links(group, value, depth: int, budget: int, words=None, whole: int | N
     return lab
 
 
-def trie_pairs(group, value, depth: int, budget: int, words, whole: int, lab):
-    """Yields all pairs (p, q) within `whole` bits whose labels differ; values sorted by group, then value."""
-    import numpy as np
-
-    for p, q in trie_walk(group, value.astype(np.uint64), depth, budget, lambda: lab):
-        hit = (lab[p] != lab[q]) & (bits_apart(words, p, q) <= whole)
-        if hit.any():
-            yield p[hit], q[hit]
-
-
 def tops(rows: int, budget: int) -> list[tuple[int, ...]]:
     """The tries: which of equal blocks of the bits are on top of each. Returns tuples of (first bit, bits) pairs.
 
