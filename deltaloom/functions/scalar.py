@@ -235,6 +235,22 @@ def lsn(c: Column) -> Column:
     return (half(1) * F.lit(4294967296).cast("decimal(20,0)") + half(2)).cast("decimal(20,0)")
 
 
+def binlog_position(file: Column, position: Column) -> Column:
+    """A binlog file's number and the position in it as one number that grows along the log; null without a number."""
+    return F.when(file.rlike(r"\.\d+$"), F.shiftleft(F.regexp_extract(file, r"\.(\d+)$", 1).cast("long"), 32) + position.cast("long"))
+
+
+def gtid_ranges(c: Column) -> Column:
+    """`uuid:1-5:9,uuid:3` as an array of (source, first, last)."""
+    sets = F.filter(F.split(F.regexp_replace(c, r"\s", ""), ","), lambda x: x != "")
+    one = lambda s, r: F.struct(F.lower(F.element_at(F.split(s, ":"), 1)).alias("source"), F.element_at(F.split(r, "-"), 1).cast("long").alias("first"), F.element_at(F.split(r, "-"), -1).cast("long").alias("last"))
+    return F.flatten(F.transform(sets, lambda s: F.transform(F.slice(F.split(s, ":"), 2, 1 << 30), lambda r: one(s, r))))
+
+
+def gtid_holds(ranges: Column, source: Column, number: Column) -> Column:
+    return F.exists(ranges, lambda r: (r["source"] == F.lower(source)) & (number >= r["first"]) & (number <= r["last"]))
+
+
 # Statements and their kinds, in the order in which they are tried. The first ones count at the statement's
 # start or after a blank within it, "inside" only within it, "start" only at its start.
 DDL_KINDS = (

@@ -374,6 +374,13 @@ def filter_batch(df: DataFrame, keep: Column) -> DataFrame:
     return df.where(F.coalesce(keep, F.lit(False)))
 
 
+def accessors(df: DataFrame) -> DataFrame:
+    """df with is_insert, is_update, is_delete, is_snapshot, is_data, is_tombstone, and size: bytes of the images as JSON."""
+    op = F.col("op")
+    images = F.coalesce(F.octet_length(F.to_json("before")), F.lit(0)) + F.coalesce(F.octet_length(F.to_json("after")), F.lit(0))
+    return df.withColumns({"is_insert": op == "c", "is_update": op == "u", "is_delete": op == "d", "is_snapshot": op == "r", "is_data": op.isin("c", "u", "d", "r"), "is_tombstone": F.col("before").isNull() & F.col("after").isNull(), "size": images})
+
+
 def cloud_event(events: DataFrame, source: str) -> DataFrame:
     return events.select(F.lit("1.0").alias("specversion"), F.concat(F.lit("change."), F.col("event_type")).alias("type"), F.lit(source).alias("source"), F.col("stream").alias("subject"), F.date_format(F.timestamp_seconds("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), F.to_json("data").alias("data"), "seq")
 

@@ -95,6 +95,22 @@ def s23_outbox_status(spark, sf_dir):
     return poll.outbox_step(e, F.col("event_id") % 4 != 0, max_retries=3).select("event_id", "status", "attempts")
 
 
+@query("""with e as (select event_id, epoch_us(ts) // 1000000 as s, event_id % 3 as attempts, case event_id % 5 when 0 then 'delivered' when 1 then 'processing' when 2 then 'processing' else 'pending' end as status, case when event_id % 5 = 1 then 0 else 1000 end as claimed_s from events),
+c as (select * from e where status = 'pending' or (status = 'processing' and claimed_s + 60 <= 1000) order by s, event_id limit 500),
+t as (select e.*, e.event_id in (select event_id from c) as mine from e), r as (select event_id, s, attempts + case when status = 'processing' or mine then 1 else 0 end as attempts,
+  case when status = 'processing' or mine then case when event_id % 2 = 0 then 'delivered' when attempts + 1 < 3 then 'pending' else 'failed' end else status end as status, status = 'processing' or mine as tried from t), m as (select max(s) as m from e)
+select 'table' as what, event_id, status, attempts from r, m where status <> 'delivered' or s + 86400 > m union all select 'dead', event_id, status, attempts from r where tried and status = 'failed'""")
+def s23_outbox_round(spark, sf_dir):
+    """Claims, one delivery, dead letters, and what is cleaned up after a day."""
+    n = F.col("event_id") % 5
+    e = table(spark, sf_dir, "events").select("event_id", F.floor(micros("ts") / 1_000_000).alias("created_s"), (F.col("event_id") % 3).alias("attempts"), F.when(n == 0, "delivered").when(n < 3, "processing").otherwise("pending").alias("status"), F.when(n == 1, 0).otherwise(1000).cast("long").alias("claimed_s"))
+    claimed = poll.outbox_claim(e, 500, 1000, "w1").select("event_id", F.lit(True).alias("mine"))
+    now = e.agg(F.max("created_s")).first()[0]
+    held = e.join(claimed, "event_id", "left").withColumn("status", F.when(F.col("mine"), "processing").otherwise(F.col("status")))
+    left, dead = poll.outbox_round(held, F.col("event_id") % 2 == 0, 3, now, 86_400)
+    return left.select(F.lit("table").alias("what"), "event_id", "status", "attempts").unionAll(dead.select(F.lit("dead"), "event_id", "status", "attempts"))
+
+
 @query("""with {EV} select event_id, op, ts_s // 86400 as day from ev""")
 def k05_object_layout(spark, sf_dir):
     rows = events_log(spark, sf_dir).select(P.field("event_id").alias("event_id"), "op", "ts_s")

@@ -182,6 +182,13 @@ def p21_cloud_events(spark, sf_dir):
     return X.cloud_event(X.to_source_event(orders_log(spark, sf_dir)), "/driver").drop("data")
 
 
+@query("""with {ORD} select o_orderkey, op = 'c' as is_insert, op = 'u' as is_update, op = 'd' as is_delete, strlen('{"k":' || o_orderkey || '}') as size from od""")
+def p21_event_accessors(spark, sf_dir):
+    log = orders_log(spark, sf_dir)
+    small = log.withColumns({im: F.when(F.col(im).isNotNull(), F.struct(F.col(f"{im}.o_orderkey").alias("k"))) for im in ("before", "after")})
+    return X.accessors(small).select(F.col("seq").alias("o_orderkey"), "is_insert", "is_update", "is_delete", "size")
+
+
 KEY = "000102030405060708090a0b0c0d0e0f101112131415161718191a1b1c1d1e1f"
 
 

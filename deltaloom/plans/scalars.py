@@ -136,10 +136,13 @@ def x21_schema_fingerprint(spark, sf_dir):
     return table(spark, sf_dir, "region").select("r_name", F.md5(text).alias("m"), F.sha2(text, 256).alias("s"))
 
 
-@query("""select c_custkey, c_custkey::hugeint * 4294967296 + c_custkey * 7 as pos from customer""")
+@query("""select c_custkey, c_custkey::hugeint * 4294967296 + c_custkey * 7 as pos, c_custkey // 100 * 4294967296 + c_custkey as binlog, c_custkey between 10 and 20 or c_custkey = 33 as held from customer""")
 def x22_position_parse(spark, sf_dir):
-    text = F.concat_ws("/", F.hex("c_custkey"), F.hex(F.col("c_custkey") * 7))
-    return table(spark, sf_dir, "customer").select("c_custkey", S.lsn(text).alias("pos"))
+    k = F.col("c_custkey")
+    text = F.concat_ws("/", F.hex("c_custkey"), F.hex(k * 7))
+    binlog = S.binlog_position(F.concat(F.lit("mysql-bin."), F.lpad(F.floor(k / 100).cast("string"), 6, "0")), k)
+    ranges = S.gtid_ranges(F.lit("3E11FA47-71CA-11E1-9E33-C80AA9429562:10-20:33, 00000000-71ca-11e1-9e33-c80aa9429562:1-99999"))
+    return table(spark, sf_dir, "customer").select("c_custkey", S.lsn(text).alias("pos"), binlog.alias("binlog"), S.gtid_holds(ranges, F.lit("3e11fa47-71ca-11e1-9e33-c80aa9429562"), k).alias("held"))
 
 
 @query("""with s as (select n_nationkey, case n_nationkey % 12 when 0 then 'CREATE TABLE ' || n_name || ' (a int)' when 1 then '  alter table ' || n_name || ' add b int' when 2 then 'truncate ' || n_name when 3 then 'select 1'

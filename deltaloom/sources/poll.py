@@ -48,3 +48,22 @@ def outbox_step(events: DataFrame, delivered: Column, max_retries: int = 3) -> D
     """attempts and status after one delivery: delivered, or pending again while attempts stay below max_retries, else failed."""
     n = F.col("attempts") + 1
     return events.withColumns({"attempts": n, "status": F.when(delivered, "delivered").when(n < max_retries, "pending").otherwise("failed")})
+
+
+def outbox_claim(events: DataFrame, batch: int, now_s: int, worker: str, lease_s: int = 60) -> DataFrame:
+    """At most `batch` events to deliver, oldest first: pending ones, and those whose claim by a worker has run out."""
+    free = (F.col("status") == "pending") | ((F.col("status") == "processing") & (F.col("claimed_s") + lease_s <= now_s))
+    due = events.where(free).orderBy("created_s", "event_id").limit(batch)
+    return due.withColumns({"status": F.lit("processing"), "claimed_s": F.lit(now_s).cast("long"), "worker": F.lit(worker)})
+
+
+def outbox_round(events: DataFrame, delivered: Column, max_retries: int = 3, now_s: int = 0, keep_s: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the table after one delivery of its claimed events, dead letters): see outbox_step. Delivered events older than keep_s go."""
+    claimed = F.col("status") == "processing"
+    n = F.when(claimed, F.col("attempts") + 1).otherwise(F.col("attempts"))
+    after = F.when(claimed, F.when(delivered, "delivered").when(F.col("attempts") + 1 < max_retries, "pending").otherwise("failed")).otherwise(F.col("status"))
+    out = events.withColumns({"status": after, "attempts": n, "_tried": claimed})
+    dead = out.where(F.col("_tried") & (F.col("status") == "failed")).drop("_tried")
+    if keep_s is not None:
+        out = out.where((F.col("status") != "delivered") | (F.col("created_s") + keep_s > now_s))
+    return out.drop("_tried"), dead
