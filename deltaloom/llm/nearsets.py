@@ -208,11 +208,18 @@ def near_links(spark: SparkSession, nodes: DataFrame, texts: DataFrame, words: i
             smallest = np.full(len(lab), np.iinfo(np.int64).max)
             np.minimum.at(smallest, lab, node)
             at = np.flatnonzero(smallest[lab] != node)
-            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(smallest[lab][at])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at] >> 48), pa.array(node[at]), pa.array(smallest[lab][at])], ["trie", "a", "b"])
 
     met = dealt(spark, _under_tops(nodes, top, tries), ["bucket"], "node", BLOCK).select("key", "bucket", "node", *FP)
-    near = components(spark, met.mapInArrow(first, "a long, b long").distinct(), "a", "b")
-    members = kept(nodes.join(near, "node").select(F.col("component").alias("bucket"), "node", "row", *FP), "members")
+    stars = kept(met.mapInArrow(first, "trie long, a long, b long"), "stars")
+    # one trie connects most of what is near; of the others only the links between its components are left
+    one = kept(components(spark, stars.where("trie = 0"), "a", "b"), "one")
+    of = lambda c: one.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    rest = stars.where("trie > 0").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    all_ = kept(components(spark, rest.where("a <> b").distinct(), "a", "b"), "all")
+    inside = stars.select(F.col("a").alias("node")).unionAll(stars.select("b")).distinct().join(one, "node", "left").select("node", F.coalesce("component", "node").alias("one"))
+    inside = inside.join(all_.select(F.col("node").alias("one"), "component"), "one", "left").select("node", F.coalesce("component", "one").alias("bucket"))
+    members = kept(nodes.join(inside, "node").select("bucket", "node", "row", *FP), "members")
     sets = kept(_sets(texts.join(members, "row"), words), "sets")
 
     def second(batches):
