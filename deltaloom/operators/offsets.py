@@ -6,6 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bounds_below(at: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are less than `at` (none for null), by binary search.
+
+    No lambda: a join on a column made by a lambda may get an inferred filter on columns that its side does not have
+    (INTERNAL_ERROR_ATTRIBUTE_NOT_FOUND, if expression ids are as small as in a new session's first query).
+    """
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.lit(bounds[mid]) < at, search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return search(0, len(bounds))
+
+
 def dense_offsets(df: DataFrame, partition: list[str], order: list[str], name: str = "offset", blocks: int | None = None) -> DataFrame:
     """0, 1, 2 ... per partition in the given order; the order must be total for one fixed result.
 
@@ -20,8 +36,7 @@ def dense_offsets(df: DataFrame, partition: list[str], order: list[str], name: s
     at = F.unix_micros(order[0]) if kind == "timestamp" else F.unix_date(order[0]) if kind == "date" else F.col(order[0])
     cuts = df.agg(F.percentile_approx(at, [k / blocks for k in range(1, blocks)], 1000).alias("cuts")).first()["cuts"]
     bounds = sorted(set(cuts or []))  # blocks - 1 numbers at most
-    block = F.coalesce(F.expr("0") if not bounds else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < at)), F.lit(-1))
-    rows = df.withColumn("_b", block)
+    rows = df.withColumn("_b", bounds_below(at, bounds))
     count = rows.groupBy(*partition, "_b").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*partition).orderBy("_b")
     first = count.select(*partition, "_b", (F.sum("_n").over(w) - F.col("_n")).alias("_first"))
