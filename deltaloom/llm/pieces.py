@@ -8,8 +8,9 @@ A text is cut only at safe boundaries, where the library's own split can never j
   of letters. A run of letters itself (some scripts have no blanks) is one token to the library's split and stays whole.
 * vocabulary that drops blanks: at every space and line feed.
 
-Special strings hold no blanks and none of these marks, so no cut falls inside one. Trailing `.,;:!?` of a word may be cut off
-too. What is not cached goes to the library in batches balanced by bytes. The cache holds so many short pieces at most.
+Special strings hold no blanks and none of these marks, so no cut falls inside one. Trailing `.,;:!?#$%&*` of a word may be cut
+off too. What is not cached goes to the library in batches balanced by bytes; words of Latin-1 letters, which its normalizer
+and split leave whole, go right to its model. The cache holds so many short pieces at most.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import gc
 import os
 import re
+import struct
 from collections.abc import Callable, Iterable
 from itertools import islice
 
@@ -27,11 +29,18 @@ CACHE_ENTRIES = 800_000
 #: Characters of a piece that is cached at most, and of one that is not cut further.
 CACHED, LONG = 64, 256
 
+#: Words on which an encoder is tried before it goes past the library's split.
+PROBES = "the The THE hello Hello world international internationalization Straße straße ÜBER über señor École naïve façade pneumonoultramicroscopic s t re ve m ll d S T RE VE M LL D xqzjk".split()
+
 _TOUCHING = re.compile(r"\s[ \n]").search
 _BEFORE_BLANKS = re.compile(r"(?<=\S)(?=[ \n])").split
 _BEFORE_MARKS = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?。，、！？；：…،؛؟।॥])").split
-_WORD_END = re.compile(r"([^\W\d_]+)([.,;:!?]+)").fullmatch
-_SPACED_WORD_END = re.compile(r"([ \n]?[^\W\d_]+)([.,;:!?]+)").fullmatch
+_WORD_END = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*]+)").fullmatch
+_SPACED_WORD_END = re.compile(r"([ \n]?[^\W\d_]+)([.,;:!?#$%&*]+)").fullmatch
+#: Letters whose words need no split: composed, one lower-case letter each, none in a special string.
+LETTERS = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)) if chr(c).isalpha()]
+_WORD = re.compile(f"([{''.join(LETTERS)}]{{1,{CACHED}}})([.,;:!?#$%&*]*)").fullmatch
+_SPACED_WORD = re.compile(f"([ \\n]?[{''.join(LETTERS)}]{{1,{CACHED - 1}}})([.,;:!?#$%&*]*)").fullmatch
 
 
 def load(name: str):
@@ -63,6 +72,13 @@ def cut_blank_dropping(text: str) -> list[str]:
     return cut_long(text.replace("\n", " ").split(" "))
 
 
+def byte_letters() -> dict[int, str]:
+    """For str.translate: blanks and LETTERS as the byte-level alphabet writes their UTF-8 bytes."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letter = {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+    return {ord(c): "".join(letter[b] for b in c.encode()) for c in [" ", "\n", *LETTERS]}
+
+
 class Encoder:
     """Maps texts to what `fold` makes of their pieces' values; `make` gives a piece's value (its length, or its ids as bytes)."""
 
@@ -73,15 +89,40 @@ class Encoder:
         self.cut = cut_blank_dropping if drops_blanks else cut_byte_level
         self.word_end = _WORD_END if drops_blanks else _SPACED_WORD_END
         self.known: dict[str, object] = {}
+        # the model alone, where it gives on words what the library gives
+        self.model, self.letters, self.lower = self.tokenizer.model, byte_letters(), drops_blanks
+        self.word = _WORD if drops_blanks else _SPACED_WORD
+        starts = [""] if drops_blanks else ["", " ", "\n"]
+        probes = [s + w for s in starts for w in (*LETTERS, *(a + b for a in LETTERS for b in LETTERS[::7]), "".join(LETTERS), "".join(LETTERS[::-1]), *PROBES)]
+        plain = all(re.search(r"[^\w\s]", t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        if not plain or self._words(probes) != [e.ids for e in self.tokenizer.encode_batch_fast(probes, add_special_tokens=False)]:
+            self.word = lambda p: None
+
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """The ids of words of LETTERS, from the library's model."""
+        if not words:
+            return []
+        text, tokens = "\0".join(words), self.model.tokenize
+        shown = (text.lower() if self.lower else text).translate(self.letters).split("\0")
+        return [[t.id for t in tokens(w)] for w in shown]
 
     def _learn(self, new: Iterable[str]) -> None:
-        known, tails, plain = self.known, [], set()
+        known, tails, plain, words = self.known, [], set(), set()
+        whole, word = self.word_end, self.word
         for p in new:
-            if m := self.word_end(p):
+            if m := word(p):
+                w, end = m.groups()
+                words.add(w)
+                if end:
+                    tails.append((p, w, end))
+                    plain.add(end)
+            elif m := whole(p):
                 tails.append((p, m[1], m[2]))
                 plain.update(m.groups())
             else:
                 plain.add(p)
+        words = list(words.difference(known))
+        known.update(zip(words, map(self.make, self._words(words))))
         batch, size = [], 0
         for p in plain.difference(known):
             batch.append(p)
@@ -106,15 +147,23 @@ class Encoder:
         collects = gc.isenabled()
         gc.disable()  # millions of strings and no cycles: the collector would only walk them
         try:
-            cut = list(map(self.cut, texts))
-            if new := set().union(*cut).difference(self.known):
+            ends, flat = [0], []
+            for pieces in map(self.cut, texts):
+                flat += pieces
+                ends.append(len(flat))
+            found = list(map(self.known.get, flat))
+            if None in found:
+                missed = [i for i, v in enumerate(found) if v is None]
+                new = {flat[i] for i in missed}
                 self._learn(new)
-            at, fold = self.known.__getitem__, self.fold
-            out = [fold(map(at, pieces)) for pieces in cut]
-            for p in new:
-                if len(p) > CACHED:
-                    self.known.pop(p, None)
-            return out
+                at = self.known.__getitem__
+                for i in missed:
+                    found[i] = at(flat[i])
+                for p in new:
+                    if len(p) > CACHED:
+                        self.known.pop(p, None)
+            fold = self.fold
+            return [fold(found[i:j]) for i, j in zip(ends, ends[1:])]
         finally:
             if collects:
                 gc.enable()
@@ -135,10 +184,8 @@ def ids(name: str) -> Encoder:
     """Gives ids as little-endian bytes, 2 bytes each where the vocabulary allows and else 4."""
     hold(f"ids {name}", _encoders.clear)
     if ("ids", name) not in _encoders:
-        import numpy as np
-
-        kind = np.dtype(id_kind(name))
-        _encoders["ids", name] = Encoder(name, lambda x: np.array(x, kind).tobytes(), bytes.__add__, b"".join)
+        kind = "H" if id_kind(name) == "<u2" else "I"
+        _encoders["ids", name] = Encoder(name, lambda x: struct.pack(f"<{len(x)}{kind}", *x), bytes.__add__, b"".join)
     return _encoders["ids", name]
 
 
