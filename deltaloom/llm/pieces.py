@@ -32,11 +32,14 @@ CACHED, LONG = 64, 256
 #: Words on which an encoder is tried before it goes past the library's split.
 PROBES = "the The THE hello Hello world international internationalization Straße straße ÜBER über señor École naïve façade pneumonoultramicroscopic s t re ve m ll d S T RE VE M LL D xqzjk".split()
 
+#: Letters that lower case or NFC end in a combining mark, which the split joins to marks that follow.
+OPEN = "\u0130\u0958-\u095f\u09dc-\u09dd\u09df\u0a33\u0a36\u0a59-\u0a5b\u0a5e\u0b5c-\u0b5d\u0f43\u0f4d\u0f52\u0f57\u0f5c\u0f69\ufb1d\ufb1f\ufb2a-\ufb36\ufb38-\ufb3c\ufb3e\ufb40-\ufb41\ufb43-\ufb44\ufb46-\ufb4e"
+
 _TOUCHING = re.compile(r"\s[ \n]").search
 _BEFORE_BLANKS = re.compile(r"(?<=\S)(?=[ \n])").split
-_BEFORE_MARKS = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?。，、！？；：…،؛؟।॥])").split
-_WORD_END = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*]+)").fullmatch
-_SPACED_WORD_END = re.compile(r"([ \n]?[^\W\d_]+)([.,;:!?#$%&*]+)").fullmatch
+_BEFORE_MARKS = re.compile(rf"(?<=[^\W\d_{OPEN}])(?=[.,;:!?。，、！？；：…،؛؟।॥])").split
+_WORD_END = re.compile(rf"([^\W\d_]*[^\W\d_{OPEN}])([.,;:!?#$%&*]+)").fullmatch
+_SPACED_WORD_END = re.compile(rf"([ \n]?[^\W\d_]*[^\W\d_{OPEN}])([.,;:!?#$%&*]+)").fullmatch
 #: Letters whose words need no split: composed, one lower-case letter each, none in a special string.
 LETTERS = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)) if chr(c).isalpha()]
 _WORD = re.compile(f"([{''.join(LETTERS)}]{{1,{CACHED}}})([.,;:!?#$%&*]*)").fullmatch

@@ -8,7 +8,7 @@ import pytest
 
 from deltaloom.llm import pieces
 
-ODD = ["", " ", "\n", "Word### two&&& three%%%,*** ÉCOLE### straße$$$", "a'll#s b's% ²## x²%% ǅ## İ** ÿŸ", "<|endoftext|>## <|ENDOFTEXT|> x<|startoftext|>###", "éa## Å&& ªº%% ×÷ a×b", "z" * 63 + "### " + "z" * 64 + " " + "z" * 65 + " " + "é" * 300, "ab\0cd ef\0", "\n\nThe\n end#"]
+ODD = ["", " ", "\n", "Word### two&&& three%%%,*** ÉCOLE### straße$$$", "a'll#s b's% ²## x²%% ǅ## İ** ÿŸ", "<|endoftext|>## <|ENDOFTEXT|> x<|startoftext|>###", "éa## Å&& ªº%% ×÷ a×b", "z" * 63 + "### " + "z" * 64 + " " + "z" * 65 + " " + "é" * 300, "ab\0cd ef\0", "\n\nThe\n end#", "İ. \u0958, x\u0958### " + "x" * 300 + "İ.a\u0958!b"]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
